@@ -186,3 +186,19 @@ def append_arrow(df: DataFrame, inputs: list[str], fields, make, keep: list[str]
             yield pa.RecordBatch.from_arrays([*old, *made], [*carried, *(n for n, _ in fields)])
 
     return wide.mapInArrow(run, schema)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, seed: int) -> DataFrame:
+    """A stored sample (text, y) of at most about ``most`` labelled documents outside the held-out fold.
+
+    One row for each doc_id (the smallest text and the largest label, if an id repeats), drawn
+    by a seeded hash of the id; rows with a null id, text or label take no part.
+    """
+    known = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna().filter(~held_out("doc_id"))
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
+    n = known.count()
+    if n > most:
+        known = known.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < int(1e6 * most / n))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).dropna()
+    found = small_join(texts, known, "doc_id", rows=min(n, most))
+    return stored(found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).select("text", "y"), "sample")
