@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 #: A table joined with a broadcast hint has at most this many rows; above it the
 #: join is a shuffled one that adaptive execution may split.
@@ -175,7 +176,7 @@ def append_arrow(df: DataFrame, inputs: list[str], fields, make, keep: list[str]
     back = dict(zip(inputs, alias))
     schema = df.select(*(F.col(f"`{c}`") for c in carried)).schema
     for name, kind in fields:
-        schema = schema.add(name, kind)
+        schema = schema.add(name, DataType.fromDDL(kind))
 
     def run(batches):
         work = None

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import quality, toxicity
 from .common import held_out, table, text_of
 from .mixing import domain_of, mix, mix_sql
+from .near_dedup import near_components
 from .sharding import uniform_shards
 from .token_counts import token_counts
 
@@ -31,6 +32,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = text_of("text").cast("binary")
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
