@@ -115,10 +115,16 @@ _P = 0x9E3779B97F4A7C15 | 1
 _P_INVERSE = pow(_P, -1, 1 << 64)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(n: int, base: int = _P) -> np.ndarray:
-    out = np.full(n + 1, np.uint64(base))
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """base**0 to base**n modulo 2**64; the longest asked for is kept."""
+    if len(_POWERS.get(base, ())) <= n:
+        out = np.full(n + 1, np.uint64(base))
+        out[0] = 1
+        _POWERS[base] = np.cumprod(out, dtype=np.uint64)
+    return _POWERS[base][: n + 1]
 
 
 def prefix_hash(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -11,6 +11,7 @@ from . import quality, toxicity
 from .common import held_out, table, text_of
 from .mixing import domain_of, mix, mix_sql
 from .near_dedup import near_components
+from .segmentation import sample_pieces
 from .sharding import uniform_shards
 from .token_counts import token_counts
 
@@ -32,6 +33,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op6_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sample_pieces(docs, keep=["doc_id"]).select("doc_id", "n_pieces", "pieces", "lossless")
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
