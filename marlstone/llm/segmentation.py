@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import append_arrow, by_bytes, fresh, mix64, prefix_hash, span_hash, utf8_slices
 
-CHUNK, BITS = 3_000_000, 28
+CHUNK, BITS = 2_000_000, 28
+_STEP, _SPREAD, _SLOTS = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E3779B97F4A7C15), 21
 
 
 @dataclass
@@ -34,7 +35,8 @@ class Pieces:
     ids: np.ndarray
     lengths: np.ndarray
     weights: np.ndarray
-    maybe: np.ndarray
+    table: np.ndarray
+    begins: np.ndarray
     byte_ids: np.ndarray
     byte_weight: float
     pool: np.ndarray
@@ -62,36 +64,50 @@ def load(path: str, sharpness: float = 1.0) -> Pieces:
     assert all(b" " not in spelt[i].lstrip(b" ") for i in usable), "a piece has a space behind a solid character"
     rank = np.array([min(float(n), -model.get_score(int(i))) for i in usable])
     weights = -sharpness * np.log(10.0 + np.maximum(rank, 0))
-    hashes = span_hash(prefix_hash(pool), start[usable], start[usable + 1])
+    # Rolling hashes of the pieces, a table to find them by, and a bitmap of what they begin with.
+    table, begins = np.full(1 << _SLOTS, -1, np.int32), np.zeros(1 << _SLOTS, bool)
+    hashes, at, size = np.zeros(len(usable), np.uint64), start[usable], lengths[usable]
+    for i in range(int(size.max())):
+        inside = size > i
+        hashes[inside] = _roll(hashes[inside], pool[at[inside] + i])
+        begins[_slot(hashes[inside])] = True
     order = np.argsort(hashes)
-    maybe = np.zeros(1 << 20, bool)
-    maybe[(hashes >> np.uint64(44)).astype(np.int64)] = True
-    return Pieces(hashes[order], usable[order].astype(np.int32), lengths[usable[order]], weights[order], maybe, byte_ids, -sharpness * float(np.log(10.0 + n)), pool, start)
+    table[_slot(hashes[order])] = np.arange(len(order))
+    return Pieces(hashes[order], usable[order].astype(np.int32), size[order], weights[order], table, begins, byte_ids, -sharpness * float(np.log(10.0 + n)), pool, start)
+
+
+def _roll(h: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (h + byte + np.uint64(1)) * _STEP
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((h * _SPREAD) >> np.uint64(64 - _SLOTS)).astype(np.int64)
 
 
 def _edges(t: Pieces, raw: np.ndarray, stop: np.ndarray):
     """All pieces that fit into the stretches: (first byte, piece or -1 for bytes, length, log weight)."""
-    hashes, at = prefix_hash(raw), np.arange(len(raw))
     lead = (raw & 0xC0) != 0x80
-    at = at[lead]
-    char = np.diff(np.append(at, len(raw)))
+    at = np.flatnonzero(lead)
     width = np.zeros(len(raw), np.int64)
-    width[at] = char
-    bare = lead.copy()
-    found = []
-    for length in range(1, int(t.lengths.max()) + 1):
-        at = at[stop[at] - at >= length]
-        if not len(at):
-            break
-        h = span_hash(hashes, at, at + length)
-        hit = t.maybe[(h >> np.uint64(44)).astype(np.int64)]
-        some, h = at[hit], h[hit]
-        k = np.searchsorted(t.hashes, h)
-        k[k == len(t.hashes)] = 0
-        right = t.hashes[k] == h
-        some, k = some[right], k[right]
+    width[at] = np.diff(np.append(at, len(raw)))
+    room, h, bare, found, length = stop[at] - at, np.zeros(len(at), np.uint64), lead.copy(), [], 0
+    while len(at):
+        h = _roll(h, raw[at + length])
+        length += 1
+        slot = _slot(h)
+        k = t.table[slot]
+        some = np.flatnonzero(k >= 0)
+        k, wanted = k[some], h[some]
+        other = np.flatnonzero(t.hashes[k] != wanted)  # two pieces in a slot, or none that is this
+        k[other] = np.minimum(np.searchsorted(t.hashes, wanted[other]), len(t.hashes) - 1)
+        right = t.hashes[k] == wanted
+        some, k = at[some[right]], k[right]
         bare[some[width[some] == length]] = False
         found.append((some, t.ids[k], np.full(len(some), length), t.weights[k]))
+        on = t.begins[slot] & (room > length)  # where a longer piece may begin like this
+        at, h, room = at[on], h[on], room[on]
     bytes_at = np.flatnonzero(bare)
     found.append((bytes_at, np.full(len(bytes_at), -1, np.int32), width[bytes_at], width[bytes_at] * t.byte_weight))
     return [np.concatenate(x) for x in zip(*found)]
