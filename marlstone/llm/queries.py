@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import quality, toxicity
 from .common import held_out, table, text_of
+from .fingerprints import neighbour_fingerprints
 from .mixing import domain_of, mix, mix_sql
 from .near_dedup import near_components
 from .segmentation import sample_pieces
@@ -21,6 +22,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, carry_text=False).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return mix(docs).select("doc_id", domain_of().alias("domain"), "lang", "source", "n_tokens", "epoch")
