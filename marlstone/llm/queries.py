@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality, toxicity
+from .ann import nearest
 from .common import held_out, table, text_of
 from .fingerprints import neighbour_fingerprints
 from .mixing import domain_of, mix, mix_sql
@@ -26,6 +27,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return mix(docs).select("doc_id", domain_of().alias("domain"), "lang", "source", "n_tokens", "epoch")
