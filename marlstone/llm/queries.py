@@ -11,6 +11,7 @@ from . import quality, toxicity
 from .ann import nearest
 from .common import held_out, table, text_of
 from .fingerprints import neighbour_fingerprints
+from .lm_score import ctw_scores
 from .mixing import domain_of, mix, mix_sql
 from .near_dedup import near_components
 from .segmentation import sample_pieces
@@ -52,6 +53,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = text_of("text").cast("binary")
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
