@@ -81,8 +81,9 @@ def mix(
     language_weights: dict[str, int] | None = None,
     source_weights: dict[str, int] | None = None,
     doc_id: str = "doc_id",
+    names: tuple[str, str] = ("n_tokens", "epoch"),
 ) -> DataFrame:
-    """The chosen rows of ``docs``, once for each epoch that takes them, with n_tokens and epoch (from 0).
+    """The chosen rows of ``docs``, once for each epoch that takes them, with n_tokens and epoch (from 0), under ``names``.
 
     The budget is ``budget_share`` of all tokens (words, unless ``tokens`` says otherwise).
     Weights are whole numbers by value; a value that a table does not name weighs 100, and
@@ -96,7 +97,7 @@ def mix(
     """
     domain_weights = DOMAINS if domain_weights is None else domain_weights
     language_weights = LANGUAGES if language_weights is None else language_weights
-    kept = [c for c in docs.columns if c.lower() not in ("n_tokens", "epoch")]
+    kept = [c for c in docs.columns if c.lower() not in names]
     dk, lk, sk, n, order, bucket, ident, epochs, rest, end, upto, before = fresh(
         [*docs.columns, "tokens", "supply", "budget"], *(f"{x}__" for x in ("domain", "lang", "source", "n", "order", "bucket", "ident", "epochs", "rest", "end", "upto", "before"))
     )
@@ -137,7 +138,13 @@ def mix(
     a = chosen.filter(~at_end).select(*columns, n, takes((F.col(bucket) < F.col(end)) & (F.col(rest) > 0)))
     b = inside.select(*columns, n, takes(F.col(before) < F.col(rest)))
     both = a.unionByName(b).filter(F.col(epochs) > 0)
-    return both.select(*columns, F.col(n).alias("n_tokens"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(epochs) - 1)).alias("epoch"))
+    return both.select(*columns, F.col(n).alias(names[0]), F.explode(F.sequence(F.lit(0).cast("long"), F.col(epochs) - 1)).alias(names[1]))
+
+
+def mixed_rows(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows that :func:`mix` chooses, with their own columns."""
+    names = fresh(docs.columns, "n_tokens", "epoch")
+    return mix(docs, names=tuple(names), **parameters).drop(*names)
 
 
 def _fill_sql(name: str, nodes: str, parents: str, key: str, weight: str) -> str:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_arrow, by_bytes, discard, held_out, labelled_sample, lower_ascii, prefix_hash, span_hash, stored, utf8_slices, words_of
+from .common import append_arrow, by_bytes, discard, fresh, held_out, labelled_sample, lower_ascii, prefix_hash, span_hash, stored, utf8_slices, words_of
 
 SHAPES, CHUNK = 192, 4_000_000
 
@@ -171,8 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_positive
     return PositiveUnlabelled(w, b, scale, prior)
 
 
-def score_quality(docs: DataFrame, model: PositiveUnlabelled, text: str = "text", threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with score (0 to 1, higher is better) and predicted (score >= threshold).
+def score_quality(docs: DataFrame, model: PositiveUnlabelled, text: str = "text", threshold: float = 0.3, keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with score (0 to 1, higher is better) and predicted (score >= threshold), under ``names``.
 
     Whole texts are scored; null and empty texts get the score of the features' zeros (and of
     the feature that says so).  Repeated rows stay repeated; an empty table gives an empty table.
@@ -185,4 +185,11 @@ def score_quality(docs: DataFrame, model: PositiveUnlabelled, text: str = "text"
 
         return work
 
-    return append_arrow(docs, [text], [("score", "double"), ("predicted", "integer")], make, keep)
+    return append_arrow(docs, [text], [(names[0], "double"), (names[1], "int")], make, keep)
+
+
+def without_junk(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that a model learnt from ``labels`` calls good, with their own columns."""
+    names = fresh(docs.columns, "score", "predicted")
+    scored = score_quality(docs, fit(docs, labels), threshold=threshold, names=tuple(names))
+    return scored.filter(F.col(names[1]) == 1).drop(*names)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_arrow, by_bytes, discard, labelled_sample, lower_ascii, mix64, prefix_hash, span_hash, utf8_slices
+from .common import append_arrow, by_bytes, discard, fresh, labelled_sample, lower_ascii, mix64, prefix_hash, span_hash, utf8_slices
 
 PREFIXES = (3, 4, 5, 6, 7, 8)
 CHUNK = 4_000_000
@@ -195,8 +195,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     return FactorizationMachine(terms, bias, w, v)
 
 
-def score_toxicity(docs: DataFrame, model: FactorizationMachine, text: str = "text", threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with score (0 to 1) and predicted (score >= threshold).
+def score_toxicity(docs: DataFrame, model: FactorizationMachine, text: str = "text", threshold: float = 0.5, keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with score (0 to 1) and predicted (score >= threshold), under ``names``.
 
     Whole texts are scored.  A null or empty text, or one without known terms, gets the score
     of the bias alone.  Repeated rows stay repeated; an empty table gives an empty table.
@@ -215,4 +215,11 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine, text: str = "te
 
         return work
 
-    return append_arrow(docs, [text], [("score", "double"), ("predicted", "integer")], make, keep)
+    return append_arrow(docs, [text], [(names[0], "double"), (names[1], "int")], make, keep)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that a model learnt from ``labels`` does not call toxic, with their own columns."""
+    names = fresh(docs.columns, "score", "predicted")
+    scored = score_toxicity(docs, fit(docs, labels), threshold=threshold, names=tuple(names))
+    return scored.filter(F.col(names[1]) == 0).drop(*names)
