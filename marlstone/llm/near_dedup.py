@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ BANDS = HASHES // ROWS
 CHUNK, FLOOR, BLOCK = 1_000_000, 0.55, 1_024
 #: Two-column tables of ids are broadcast up to this many rows (about 16 MB).
 ID_ROWS = 500_000
+#: Links that one task contracts at a time.
+LINKS = 1_000_000
 
 _RNG = np.random.default_rng(1_234_567)
 _A, _C = (_RNG.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(2))
@@ -144,26 +147,58 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, pairs.select("a", "b").schema).distinct()
 
 
+def _contract(batches):
+    """Each node of a partition's links with the least node that they reach within the partition."""
+    links = pa.Table.from_batches(list(batches))
+    if not links.num_rows:
+        return
+    both = pa.chunked_array([*links.column("a").chunks, *links.column("b").chunks]).combine_chunks()
+    names = pc.unique(both)
+    names = names.take(pc.array_sort_indices(names))
+    at = pc.index_in(both, names).to_numpy()
+    a, b, least = at[: links.num_rows], at[links.num_rows :], np.arange(len(names))
+    while True:
+        before = least.copy()
+        low = np.minimum(least[a], least[b])
+        np.minimum.at(least, least[a], low)
+        np.minimum.at(least, least[b], low)
+        least = least[least]
+        while (least != (deeper := least[least])).any():
+            least = deeper
+        if (least == before).all():
+            break
+    far = np.flatnonzero(least != np.arange(len(names)))
+    yield pa.RecordBatch.from_arrays([names.take(pa.array(least[far])), names.take(pa.array(far))], ["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the least node reachable, by alternating large-star and small-star steps.
+    """(node, component): the least node reachable.
 
-    Each step takes minima with map-side combination and joins back, so a node with very many
-    links is not gathered anywhere; each round is written to the shared folder.
+    Partitions of at most ``LINKS`` links are contracted to stars, each by itself; as long as
+    there are several, a large-star and a small-star step join what they found, by minima with
+    map-side combination, and the rounds go on until nothing changes.  Each is written to the
+    shared folder.
     """
-    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct(), "edges")
-    seen = mark(edges)
-    while True:
+    schema = edges.select("a", "b").schema
+
+    def contracted(df: DataFrame) -> tuple[DataFrame, int, tuple]:
+        parts = max(1, -(-df.count() // LINKS))
+        out = stored(df.repartition(parts).mapInArrow(_contract, schema), "edges")
+        discard(df)
+        return out, parts, tuple(out.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()) if parts > 1 else ()
+
+    edges, parts, seen = contracted(edges.select("a", "b"))
+    while parts > 1:
         ways = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = ways.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = ways.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = ways.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a != b").distinct()
         lowest = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(lowest, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), "b"))).alias("e"))
-        after = stored(small.select("e.a", "e.b").filter("a != b").distinct(), "edges")
-        discard(edges)
-        edges, before, seen = after, seen, mark(after)
+        before = seen
+        edges, parts, seen = contracted(stored(small.select("e.a", "e.b").filter("a != b").distinct(), "edges"))
         if seen == before:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
+            break
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
 
 
 def _pairs_in_blocks(bucket: pa.Table) -> pa.Table:
