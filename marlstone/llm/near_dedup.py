@@ -304,3 +304,23 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "of_node", ident)).otherwise(F.coalesce("of_node", ident))
     out = out.select(ident, "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.col(ident).eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
+    """``docs`` without the rows that are near-duplicates of one with a smaller doc_id.
+
+    Of rows that share a doc_id, one stays: that of the least text.  Rows with a null doc_id stay.
+    """
+    found = near_components(docs, doc_id, text, percent)
+    ident = found.columns[0]
+    found = stored(found.filter(F.col(ident).isNotNull()).groupBy(ident).agg(F.max("kept").alias("kept"), F.count("*").alias("rows")), "kept")
+    named = lambda df: df.select(F.col(ident).alias(doc_id))
+    gone = named(found.filter("not kept or rows > 1"))
+    n = gone.count()
+    single = small_join(docs, gone, doc_id, "left_anti", rows=0 if n <= ID_ROWS else n)
+    several = named(found.filter("kept and rows > 1"))
+    if several.isEmpty():
+        return single
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    best = docs.join(several, doc_id, "left_semi").groupBy(doc_id).agg(F.min_by(row, F.struct(F.col(f"`{text}`"), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))).alias("row"))
+    return single.unionByName(best.select("row.*"))
