@@ -1,8 +1,63 @@
-"""From raw documents to sampled training sequences."""
+"""From raw documents to sampled training sequences.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all rows that the one before kept, and
+returns the columns of ``docs``; the last one adds the sampled pieces.  Rows go for one
+reason a stage: toxic text, poor text, a near-duplicate with a smaller id, no room in the
+budget of their leaf.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from marlstone.llm.common import stored, table
+from marlstone.llm.mixing import mixed_rows
+from marlstone.llm.near_dedup import one_of_each
+from marlstone.llm.quality import without_junk
+from marlstone.llm.segmentation import sample_pieces
+from marlstone.llm.toxicity import without_toxic
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine scores below 0.5."""
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the positive-unlabelled classifier scores 0.3 or more."""
+    return without_junk(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each group of near-duplicates."""
+    return one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Four fifths of the words, shared out by domain, language and source; no row more than once."""
+    return mixed_rows(docs, budget_share=0.8, max_epochs=1)
+
+
+def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sampled segmentation of each document, seeded by its doc_id."""
+    return sample_pieces(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality", drop_poor),
+    ("near_dedup", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("segmentation", segment),
+]
+
+#: Learnt models and sampled segmentations have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.range(0)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents of ``sf_dir``; what a stage keeps is written to the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
