@@ -1 +1,34 @@
+"""Streams through the same statements.
 
+A stream is registered like a table; a SELECT over it without sorting, limit or grouping is
+a stream again, and can be inserted into a table batch by batch.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators.changes import _finished
+from ..session import Session
+
+
+def insert_stream(session: Session, rows: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Append a streaming DataFrame that has the table's columns, one table version for each batch.
+
+    A batch that comes again after a failure is recognised by its number and not added twice
+    within the session.
+    """
+    target, seen = session.catalog.get(table), set()
+
+    def add(batch: DataFrame, number: int) -> None:
+        if number in seen:
+            return
+        from pyspark.sql import functions as F
+
+        part = session.catalog.write(_finished(batch, target, {f.name: F.col(f"`{f.name}`") for f in target.fields}), target)
+        with session._lock:
+            target.parts = (*target.parts, part)
+            seen.add(number)
+
+    return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
