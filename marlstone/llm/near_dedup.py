@@ -10,7 +10,7 @@ million, and an estimate below ``FLOOR`` is over five deviations off.
 Documents with equal sets form one class and are linked without being compared.  Among the
 classes, no bucket is expanded into its pairs: its members are first compared with one hub,
 then with another where several components remain, and only members of different components
-are compared further, in blocks that emit the passing pairs alone.
+are compared further, in blocks that decide each pair on the spot and emit a tree of links at most.
 """
 
 from __future__ import annotations
@@ -201,21 +201,45 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
 
 
-def _pairs_in_blocks(bucket: pa.Table) -> pa.Table:
-    """Pairs of one block (of one chunk, or between two) from different components that may be linked."""
-    chunk, node = bucket.column("chunk").to_numpy(), bucket.column("node")
-    size, comp = bucket.column("n_shingles").to_numpy(), bucket.column("comp_hash").to_numpy()
-    signature = utf8_slices(bucket.column("signature"))[0].reshape(bucket.num_rows, -1)
-    left = np.flatnonzero(chunk == bucket.column("low")[0].as_py())
-    right = np.flatnonzero(chunk == bucket.column("high")[0].as_py())
-    same, a, b = bucket.column("low")[0].as_py() == bucket.column("high")[0].as_py(), [], []
-    for i in left:
-        js = right[right > i] if same else right
-        js = js[(comp[js] != comp[i]) & (100 * np.minimum(size[js], size[i]) >= 75 * np.maximum(size[js], size[i]))]
-        js = js[estimate(signature[js], signature[i]) >= FLOOR]
-        a += [i] * len(js)
-        b += js.tolist()
-    return pa.table({"a": node.take(pa.array(a, pa.int64())), "b": node.take(pa.array(b, pa.int64()))})
+def _links_in_block(percent: int):
+    """Links between the components of one block (a chunk of a bucket with itself, or two chunks).
+
+    Pairs that the signatures leave possible are decided on the full sets at once, in the
+    first band that the two share; a link joins their components, so a block gives fewer links
+    than it has rows.
+    """
+
+    def run(block: pa.Table) -> pa.Table:
+        chunk, node, low, high = block.column("chunk").to_numpy(), block.column("node"), block.column("low")[0].as_py(), block.column("high")[0].as_py()
+        comp = np.unique(block.column("comp_hash").to_numpy(), return_inverse=True)[1]
+        signature = utf8_slices(block.column("signature"))[0].reshape(block.num_rows, -1)
+        bands, bucket = block.column("bands").combine_chunks().flatten().to_numpy().reshape(block.num_rows, -1), block.column("bucket")[0].as_py()
+        raw, at = utf8_slices(block.column("members"))
+        values = raw.view(np.uint64) if raw.flags.aligned and not raw.ctypes.data % 8 else np.frombuffer(raw.tobytes(), np.uint64)
+        at = at // 8
+        size = np.diff(at)
+        left, right, a, b = np.flatnonzero(chunk == low), np.flatnonzero(chunk == high), [], []
+        for i in left:
+            js = right[right > i] if low == high else right
+            js = js[(comp[js] != comp[i]) & (100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i]))]
+            js = js[estimate(signature[js], signature[i]) >= FLOOR]
+            if len(js):
+                js = js[bands[i][(bands[js] == bands[i]).argmax(1)] == bucket]
+            if not len(js):
+                continue
+            n = size[js]
+            where = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at[js], n)
+            own, theirs = values[at[i] : at[i + 1]], values[where]
+            found = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+            common = np.add.reduceat((own[found] == theirs).astype(np.int64), np.cumsum(n) - n)
+            for j in js[100 * common >= percent * (n + size[i] - common)]:
+                if comp[i] != comp[j]:
+                    comp[comp == comp[j]] = comp[i]
+                    a.append(i)
+                    b.append(j)
+        return pa.table({"a": node.take(pa.array(a, pa.int64())), "b": node.take(pa.array(b, pa.int64()))})
+
+    return run
 
 
 def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -287,9 +311,9 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     still = open_buckets(labels)
     chunks = F.ceil(F.col("size") / BLOCK).cast("int")
     left = still.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    left = left.select("bucket", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high"), "chunk", "node", F.xxhash64("component").alias("comp_hash")).join(thin, "node")
-    pairs = left.groupBy("bucket", "low", "high").applyInArrow(_pairs_in_blocks, f"a {id_type}, b {id_type}").distinct()
-    rest = stored(_linked(pairs, sets, percent), "links")
+    left = left.select("bucket", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high"), "chunk", "node", F.xxhash64("component").alias("comp_hash"))
+    left = left.join(nodes, "node").join(sets, "node")
+    rest = stored(left.groupBy("bucket", "low", "high").applyInArrow(_links_in_block(percent), f"a {id_type}, b {id_type}").distinct(), "links")
     discard(still)
     if rest.isEmpty():
         final = labels
