@@ -26,11 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, held_out, mix64, prefix_hash, span_hash, stored, utf8_slices
+from .common import distinct, fresh, held_out, mix64, prefix_hash, span_hash, stored, utf8_slices
 
 DEPTH, END = 6, 255
 #: Text in a block, and text for each bucket; a block sends one message to each bucket.
-BLOCK_BYTES, BUCKET_BYTES, BUCKETS = 6_000_000, 32_000_000, 4_096
+BLOCK_BYTES, BUCKET_BYTES, BUCKETS = 3_000_000, 4_000_000, 4_096
+#: Log probabilities travel as whole numbers of this fraction.
+UNIT = 2.0**-18
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -269,17 +271,17 @@ def _ask(buckets: int):
 
     def run(block: pa.Table) -> pa.Table:
         text, offsets = symbols(block.column("text").combine_chunks() if block.num_rows else block.column("text"))
-        distinct = np.unique(grams(text, offsets))
+        wanted = distinct(grams(text, offsets))
         token, cuts = word_hashes(text, offsets)
         train = np.repeat(block.column("train").to_numpy(), np.diff(cuts))
         words, counts = total(token, train.astype(np.int64))
-        where = bucket_of(distinct, buckets)
+        where = bucket_of(wanted, buckets)
         at = np.argsort(where.astype(np.uint16), kind="stable")
         cut = np.searchsorted(where[at], np.arange(buckets + 1))
         home = (words % np.uint64(buckets)).astype(np.int64)
         word_at = np.argsort(home.astype(np.uint16), kind="stable")
         word_cut = np.searchsorted(home[word_at], np.arange(buckets + 1))
-        rows = [(pack(distinct[at[a:b]]), pack(words[word_at[c:d]]), to_planes(counts[word_at[c:d]])) for a, b, c, d in zip(cut, cut[1:], word_cut, word_cut[1:])]
+        rows = [(pack(wanted[at[a:b]]), pack(words[word_at[c:d]]), to_planes(counts[word_at[c:d]])) for a, b, c, d in zip(cut, cut[1:], word_cut, word_cut[1:])]
         number = block.column("block")[0].as_py()
         return pa.table({"block": pa.array([number] * buckets, pa.int32()), "bucket": pa.array(np.arange(buckets, dtype=np.int32)), **{k: pa.array(list(v), pa.binary()) for k, v in zip(("grams", "words", "counts"), zip(*rows))}})
 
@@ -299,8 +301,9 @@ def _answer(top):
         if model.num_rows:
             keys, counts = unpack(model.column("grams")[0].as_buffer()), from_planes(model.column("counts")[0].as_buffer(), np.int64)
         wanted = [unpack(x.as_buffer()) for x in asked.column("grams")]
-        every = np.unique(np.concatenate(wanted))
-        score = Subtrees(keys, counts).log10_probability(every, top.value).astype(np.float32)
+        every = distinct(np.concatenate(wanted))
+        score = Subtrees(keys, counts).log10_probability(every, top.value)
+        score = np.round(score / UNIT).astype(np.int32)
         words = [unpack(x.as_buffer()) for x in asked.column("words")]
         known, c = total(np.concatenate(words), np.concatenate([from_planes(x.as_buffer(), np.int64) for x in asked.column("counts")]))
         n = asked.num_rows
@@ -317,12 +320,13 @@ def _answer(top):
 def _score(buckets: int, ident: str):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         text, offsets = symbols(block.column("text").combine_chunks())
-        distinct, which = np.unique(grams(text, offsets), return_inverse=True)
+        asked, which = np.unique(grams(text, offsets), return_inverse=True)
         order = np.argsort(answers.column("bucket").to_numpy())
         take = lambda name, kind: np.concatenate([from_planes(answers.column(name)[int(i)].as_buffer(), kind) for i in order])
-        value = np.empty(len(distinct))
-        value[np.argsort(bucket_of(distinct, buckets).astype(np.uint16), kind="stable")] = take("scores", np.float32)
+        value = np.empty(len(asked))
+        value[np.argsort(bucket_of(asked, buckets).astype(np.uint16), kind="stable")] = take("scores", np.int32) * UNIT
         score = np.add.reduceat(value[which], offsets[:-1])
+        del asked, which, value
         token, cuts = word_hashes(text, offsets)
         words, at = np.unique(token, return_inverse=True)
         count = np.empty(len(words), np.int64)
