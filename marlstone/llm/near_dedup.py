@@ -149,9 +149,10 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _contract(batches):
     """Each node of a partition's links with the least node that they reach within the partition."""
-    links = pa.Table.from_batches(list(batches))
-    if not links.num_rows:
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
         return
+    links = pa.Table.from_batches(batches)
     both = pa.chunked_array([*links.column("a").chunks, *links.column("b").chunks]).combine_chunks()
     names = pc.unique(both)
     names = names.take(pc.array_sort_indices(names))
@@ -326,7 +327,7 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     single = final.select(F.col("node").alias(ident), F.col("component").alias("of_node"))
     out = sketch.select(ident, *key).join(shared, ["k1", "k2", "n_shingles"], "left").join(single, ident, "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "of_node", ident)).otherwise(F.coalesce("of_node", ident))
-    out = out.select(ident, "n_shingles", component.alias("component_id"))
+    out = out.select(ident, "n_shingles", F.when(F.col(ident).isNotNull(), component).alias("component_id"))
     return out.withColumn("kept", F.col(ident).eqNullSafe(F.col("component_id")))
 
 

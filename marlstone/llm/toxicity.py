@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_arrow, by_bytes, discard, fresh, labelled_sample, lower_ascii, mix64, prefix_hash, span_hash, utf8_slices
+from .common import append_arrow, by_bytes, discard, distinct, fresh, labelled_sample, lower_ascii, mix64, prefix_hash, span_hash, utf8_slices
 
 PREFIXES = (3, 4, 5, 6, 7, 8)
 CHUNK = 4_000_000
@@ -106,7 +106,7 @@ def active(lookup: _Lookup, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.nd
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     size = max(1, len(lookup.terms))
-    both = np.unique(np.concatenate(rows) * size + np.concatenate(terms))
+    both = distinct(np.concatenate(rows) * size + np.concatenate(terms))
     return both // size, both % size
 
 
@@ -123,13 +123,13 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def train(rows: list[np.ndarray], y: np.ndarray, size: int, rank: int = 8, epochs: int = 12, rate: float = 0.1, decay: float = 1e-4, batch: int = 128, seed: int = 5) -> tuple[float, np.ndarray, np.ndarray]:
-    """Logistic loss by AdaGrad over shuffled batches of rows of active terms."""
+def train(rows: list[np.ndarray], y: np.ndarray, size: int, rank: int = 8, epochs: int = 12, steps: int = 800, rate: float = 0.1, decay: float = 1e-4, batch: int = 128, seed: int = 5) -> tuple[float, np.ndarray, np.ndarray]:
+    """Logistic loss by AdaGrad over shuffled batches of rows of active terms: ``epochs`` passes, and ``steps`` batches at least."""
     rng = np.random.default_rng(seed)
     share = (y.sum() + 0.5) / (len(y) + 1.0)
     bias, w, v = math.log(share / (1 - share)), np.zeros(size), rng.normal(0, 0.01, (size, rank))
     gw, gv, gb = np.full(size, 1e-6), np.full((size, rank), 1e-6), 1e-6
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-steps * batch // max(1, len(rows))))):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), batch):
             take = order[at : at + batch]
@@ -173,8 +173,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     g = 2 * (cell(k, df * n1 / n) + cell(df - k, df * rest / n) + cell(n1 - k, (n - df) * n1 / n) + cell(rest - df + k, (n - df) * rest / n))
     counts = counts.select("term", "df", g.alias("g")).persist()
     tested = counts.count()
-    telling = counts.filter(F.col("g") >= 2 * math.log(tested + 1) + 4).orderBy(F.desc("g"), "term").limit(most_terms - frequent).select("term")
-    common = counts.orderBy(F.desc("df"), "term").limit(frequent).select("term")
+    telling = counts.filter(F.col("g") >= 2 * math.log(tested + 1)).orderBy(F.desc("g"), "term").limit(most_terms - frequent).select("term")
+    # Frequent terms without a difference of their own: only as many as the rarer class can bear.
+    common = counts.orderBy(F.desc("df"), "term").limit(min(frequent, min(n1, n - n1) // 2)).select("term")
     terms = np.unique(telling.union(common).toPandas()["term"].to_numpy(np.int64).view(np.uint64))
     counts.unpersist()
 
