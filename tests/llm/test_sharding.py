@@ -1,0 +1,68 @@
+from __future__ import annotations
+
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from marlstone.llm import sharding as H
+
+
+def test_matrix_margins_and_law():
+    seen = np.zeros((2, 3))
+    for seed in range(4_000):
+        m = H.communication_matrix([5, 7], [4, 2, 6], seed)
+        assert list(m.sum(1)) == [5, 7] and list(m.sum(0)) == [4, 2, 6]
+        seen += m
+    assert np.allclose(seen / 4_000, np.outer([5, 7], [4, 2, 6]) / 12, atol=0.06)
+
+
+def test_inversion_beyond_the_library_limit():
+    rng = np.random.default_rng(3)
+    good, bad, draws = 900_000_000, 600_000_000, 10_000
+    x = np.array([H.hypergeometric(rng, good, bad, draws) for _ in range(1_500)])
+    assert abs(x.mean() - draws * 0.6) < 4 * 49 / np.sqrt(1_500) and abs(x.std() - 49) < 4
+
+
+def _check(rows, n, shards):
+    sizes = Counter(r.shard for r in rows)
+    assert len(rows) == n and max(sizes[s] for s in range(shards)) - min(sizes[s] for s in range(shards)) <= 1
+    slots = {}
+    for r in rows:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and set(slots) <= set(range(shards))
+
+
+@pytest.mark.parametrize("n,group,block", [(0, 10, 10), (1, 10, 10), (39, 10, 10), (1_000, 100, 10), (1_001, 10_000, 10_000)])
+def test_exact_sizes(spark, n, group, block):
+    df = spark.range(n).selectExpr("id as doc_id", "'x' as shard", "1 as slot")
+    got = H.uniform_shards(df, ["doc_id"], group_rows=group, block_rows=block)
+    rows = got.collect()
+    _check(rows, n, 40)
+    assert sorted(r.doc_id for r in rows) == list(range(n))
+    again = H.uniform_shards(df.repartition(7), ["doc_id"], group_rows=group, block_rows=block)
+    assert {(r.doc_id, r.shard, r.slot) for r in rows} == {(r.doc_id, r.shard, r.slot) for r in again.collect()}
+
+
+def test_uniform_over_shards_and_slots(spark):
+    """Each key's shard and slot over many seeds, by chi-squared."""
+    df = spark.range(24).selectExpr("id as doc_id").cache()
+    shard, slot = np.zeros((24, 4)), np.zeros((24, 6))
+    seeds = 60
+    for seed in range(seeds):
+        for r in H.uniform_shards(df, ["doc_id"], shards=4, seed=seed * 1_000, group_rows=8, block_rows=3).collect():
+            shard[r.doc_id, r.shard] += 1
+            slot[r.doc_id, r.slot] += 1
+    for table, cells in ((shard, 4), (slot, 6)):
+        expected = seeds / cells
+        statistic = ((table - expected) ** 2 / expected).sum()
+        freedom = 24 * (cells - 1)
+        assert statistic < freedom + 5 * np.sqrt(2 * freedom)
+
+
+def test_odd_rows(odd, empty):
+    got = H.uniform_shards(odd, ["doc_id", "text"], shards=5)
+    rows = got.collect()
+    assert set(got.columns) == set(odd.columns) | {"slot"}
+    _check(rows, odd.count(), 5)
+    assert H.uniform_shards(empty, ["doc_id"]).count() == 0
