@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small_batches
 
 #: Rows of an index block and queries of a query block: the most that one task step holds.
 BLOCK, QUERIES = 8_192, 2_048
@@ -193,6 +194,7 @@ def nearest(vectors: DataFrame, k: int = 10, query_every: int = 100, max_sample:
     all are returned; an empty table gives an empty table.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     x = F.col("x")
     usable = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{embedding}`").cast("array<double>").alias("x")).filter("id is not null and x is not null")
     usable = usable.filter(~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(x, lambda v: v != 0))

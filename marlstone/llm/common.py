@@ -20,6 +20,18 @@ BROADCAST_ROWS = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows and bytes that go to Python at a time: an executor's Python workers and the buffers that
+#: feed them then need tens of megabytes, not hundreds.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to :data:`BATCH`, unless it has its own setting."""
+    for key, (default, wanted) in BATCH.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, wanted)
+
+
 def fresh(taken, *wanted: str) -> list[str]:
     """``wanted`` names, lengthened where they collide with ``taken`` (case-insensitively)."""
     low, out = {t.lower() for t in taken}, []
@@ -175,6 +187,7 @@ def append_arrow(df: DataFrame, inputs: list[str], fields, make, keep: list[str]
     the arrays of ``fields`` (a list of (name, Spark type)).  ``keep``: the columns of ``df``
     to carry along (all by default).  A carried column that has the name of a new one gives way.
     """
+    small_batches(df.sparkSession)
     new = {name.lower() for name, _ in fields}
     carried = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     alias = fresh(carried, *(f"in{i}__" for i in range(len(inputs))))
@@ -201,6 +214,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, s
     One row for each doc_id (the smallest text and the largest label, if an id repeats), drawn
     by a seeded hash of the id; rows with a null id, text or label take no part.
     """
+    small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna().filter(~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     n = known.count()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, fresh, prefix_hash, small_join, span_hash, utf8_slices
+from .common import by_bytes, fresh, prefix_hash, small_batches, small_join, span_hash, utf8_slices
 
 WINDOW, RUN, POINTS, PER_FILTER, BITS, CLASSES = 64, 64, 16, 160, 2_048, 1_001
 #: Where fewer than FEW windows have the points, the points asked for are halved until there are as many.
@@ -242,6 +242,7 @@ def neighbour_fingerprints(docs: DataFrame, ranks: np.ndarray | None = None, doc
     spans of eight bytes.  Repeated rows stay
     repeated.
     """
+    small_batches(docs.sparkSession)
     if ranks is None:
         ranks = corpus_ranks(docs, text)
     ident, tie, part, look, body = fresh(RESULT, "doc_id", "tie__", "part__", "look__", "text__")

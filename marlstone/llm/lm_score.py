@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct, fresh, held_out, mix64, prefix_hash, span_hash, stored, utf8_slices
+from .common import distinct, fresh, held_out, mix64, prefix_hash, small_batches, span_hash, stored, utf8_slices
 
 DEPTH, END = 6, 255
 #: Text in a block, and text for each bucket; a block sends one message to each bucket.
@@ -227,7 +227,7 @@ def _count(buckets: int):
             fresh_keys = []
 
         for batch in batches:
-            column, size = batch.column(0), max(1, batch.column(0).nbytes // 4_000_000)
+            column, size = batch.column(0), max(1, batch.column(0).nbytes // 2_000_000)
             step = -(-len(column) // size)
             for a in range(0, len(column), max(1, step)):
                 g = np.sort(grams(*symbols(column.slice(a, step))))
@@ -354,6 +354,7 @@ def ctw_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modu
     end symbol.  Without training documents every decision has probability 1/2 and the base
     counts are 0.  Repeated rows stay repeated; an empty table gives an empty table.
     """
+    small_batches(docs.sparkSession)
     ident, block, train, body = fresh(["n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte", "bucket"], "doc_id", "block", "train", "text")
     rows = docs.select(F.col(f"`{doc_id}`").alias(ident), F.col(f"`{text}`").cast("string").alias(body), (~held_out(doc_id, remainder, modulus)).alias(train))
     size = rows.agg(F.sum(F.octet_length(body))).first()[0] or 0

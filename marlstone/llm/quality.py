@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import append_arrow, by_bytes, discard, fresh, held_out, labelled_sample, lower_ascii, prefix_hash, span_hash, stored, utf8_slices, words_of
 
-SHAPES, CHUNK = 192, 4_000_000
+SHAPES, CHUNK = 192, 1_000_000
 
 # Classes of bytes: letters small and large, digits; others stand for themselves.
 _KIND = np.arange(256, dtype=np.uint8)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import append_arrow, by_bytes, discard, distinct, fresh, labelled_sample, lower_ascii, mix64, prefix_hash, span_hash, utf8_slices
 
 PREFIXES = (3, 4, 5, 6, 7, 8)
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[48:58] = _LETTER[97:123] = _LETTER[128:] = True
