@@ -349,3 +349,22 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     best = docs.join(several, doc_id, "left_semi").groupBy(doc_id).agg(F.min_by(row, F.struct(F.col(f"`{text}`"), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))).alias("row"))
     return single.unionByName(best.select("row.*"))
+
+
+#: The rows of :func:`near_components` in DuckDB's SQL: all pairs that share a shingle, and a walk over the links.
+NEAR_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle
+  FROM words),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM ways UNION SELECT r.a, w.b FROM reach r JOIN ways w ON r.b = w.a),
+least_of AS (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(least(l.low, d.doc_id), d.doc_id) AS component_id, coalesce(least(l.low, d.doc_id), d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN least_of l USING (doc_id)"""

@@ -13,7 +13,7 @@ from .common import held_out, table, text_of
 from .fingerprints import neighbour_fingerprints
 from .lm_score import ctw_scores
 from .mixing import domain_of, mix, mix_sql
-from .near_dedup import near_components
+from .near_dedup import NEAR_SQL, near_components
 from .segmentation import sample_pieces
 from .sharding import uniform_shards
 from .token_counts import token_counts
@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mix_sql()}
+    return {"op4_mixing": mix_sql(), "op7_near_dedup": NEAR_SQL}

@@ -81,12 +81,13 @@ def test_queries_return_their_columns(spark, name):
             assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == (1 if name.startswith("op8") else 0))
 
 
-def test_mixing_query_against_its_sql(spark):
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_query_against_its_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    done = con.execute(Q.oracle_sql()["op4_mixing"])
+    done = con.execute(Q.oracle_sql()[name])
     columns = [d[0] for d in done.description]
     want = sorted(map(str, done.fetchall()))
-    assert want == sorted(str(tuple(r)) for r in Q.queries()["op4_mixing"](spark, SF).select(*columns).collect())
+    assert want == sorted(str(tuple(r)) for r in Q.queries()[name](spark, SF).select(*columns).collect())
