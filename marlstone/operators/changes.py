@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +39,10 @@ def _finished(df: DataFrame, table: Table, values: dict[str, object]) -> DataFra
     return df.select(*((_checked(values[f.name], f) if f.name in values else F.lit(None).cast(spark_type(f.type))).alias(f.name) for f in table.fields))
 
 
-def _run(write):
-    from pyspark.errors import PySparkException
-
+def run_spark(action):
+    """The value of ``action()``; what Spark reports of the data becomes an error of the engine."""
     try:
-        return write()
+        return action()
     except PySparkException as error:
         text = str(error)
         if "value too long for" in text:
@@ -87,7 +87,7 @@ def insert_frame(catalog: Catalog, s: S.Insert, plan_query) -> tuple[Table, Data
 
 def insert(catalog: Catalog, s: S.Insert, plan_query) -> int:
     table, df = insert_frame(catalog, s, plan_query)
-    part = _run(lambda: catalog.write(df, table))
+    part = run_spark(lambda: catalog.write(df, table))
     count = part.count()  # from the new files' footers
     if count:
         table.parts = (*table.parts, part)
@@ -111,7 +111,7 @@ def _counts(scanned: list[DataFrame], test) -> list[int]:
     every = tagged[0]
     for t in tagged[1:]:
         every = every.union(t)
-    found = {r[0]: r[1] for r in _run(lambda: every.groupBy("part").agg(F.count_if("hit")).collect())}
+    found = {r[0]: r[1] for r in run_spark(lambda: every.groupBy("part").agg(F.count_if("hit")).collect())}
     return [found.get(i, 0) for i in range(len(scanned))]
 
 
@@ -128,7 +128,7 @@ def update(catalog: Catalog, s: S.Update, frame_only: bool = False):
     if frame_only:
         return [df.select(*columns) for df in scanned]
     counts = _counts(scanned, test)
-    parts = [_run(lambda df=df: catalog.write(df.select(*columns), table)) if n else part for df, part, n in zip(scanned, table.parts, counts)]
+    parts = [run_spark(lambda df=df: catalog.write(df.select(*columns), table)) if n else part for df, part, n in zip(scanned, table.parts, counts)]
     table.parts = tuple(parts)
     return sum(counts)
 
@@ -144,5 +144,5 @@ def delete(catalog: Catalog, s: S.Delete, frame_only: bool = False):
     if s.where is None:
         table.parts = ()
     else:
-        table.parts = tuple(_run(lambda df=df: catalog.write(df, table)) if n else part for df, part, n in zip(rest, table.parts, counts))
+        table.parts = tuple(run_spark(lambda df=df: catalog.write(df, table)) if n else part for df, part, n in zip(rest, table.parts, counts))
     return sum(counts)

@@ -26,7 +26,7 @@ class Result:
     tag: str | None = None
 
     def rows(self) -> list[tuple]:
-        return [] if self.frame is None else [tuple(r) for r in self.frame.collect()]
+        return [] if self.frame is None else [tuple(r) for r in changes.run_spark(self.frame.collect)]
 
 
 class Session:

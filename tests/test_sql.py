@@ -95,6 +95,9 @@ def test_types_and_overflow(spark, session):
     for text in ("i + 1", "l + 1", "s + s", "-s", "-i", "-l", "i - s - i - i"):
         with pytest.raises(Exception, match="OVERFLOW"):
             session.select(f"select {text} as x from edge").collect()
+        with pytest.raises(SqlError) as error:
+            session.sql(f"select {text} as x from edge").rows()
+        assert error.value.kind == "NumericOutOfRange"
     assert session.select("select d + d as x from edge where d > 0").collect()[0][0] == float("inf")
     assert session.select("select count(*) as n from edge where s < i and i < l").collect()[0][0] == 1
 
