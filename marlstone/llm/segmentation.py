@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import append_arrow, by_bytes, fresh, mix64, prefix_hash, span_hash, utf8_slices
 
-CHUNK, BITS = 2_000_000, 28
+CHUNK, BITS = 500_000, 28
 _STEP, _SPREAD, _SLOTS = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E3779B97F4A7C15), 21
 
 
