@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -43,38 +44,74 @@ def fresh(taken, *wanted: str) -> list[str]:
     return out
 
 
+#: A file of at most so many bytes that has fewer row groups than there are cores is dealt out before use.
+SMALL_TABLE = 64_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder; one that a scan would read in fewer tasks than there are cores is dealt out first."""
+    """A table of the folder.
+
+    A small table in one or two row groups would keep most cores idle; one of at most
+    :data:`SMALL_TABLE` bytes is dealt out over the cores first.  No larger one is ever moved.
+    """
     df, cores = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size <= SMALL_TABLE and df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's own setting, or a local one where unset (tests)."""
+    """The folder that driver and executors share: the session's own setting.
+
+    Where that is unset, a local folder serves a local master; any other master is refused,
+    since its executors would write to disks of their own.
+    """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="marlstone-")
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+#: What :func:`stored` has written and nobody has deleted yet, by application.
+_STORED: dict[str, set[str]] = {}
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/marlstone/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._marlstone_path = path
+    _STORED.setdefault(df.sparkSession.sparkContext.applicationId, set()).add(path)
     return back
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by :func:`stored` that no later step reads."""
-    path = getattr(df, "_marlstone_path", None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _STORED.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables made by :func:`stored` that no later step reads."""
+    for df in frames:
+        path = getattr(df, "_marlstone_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables that operators have stored in this application; their number.
+
+    Results read such tables until they are written or collected, so call it after that.
+    """
+    paths = list(_STORED.get(spark.sparkContext.applicationId, ()))
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
 
 
 def small_join(df: DataFrame, small: DataFrame, on, how: str = "inner", rows: int | None = None) -> DataFrame:
@@ -125,35 +162,44 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INVERSE = pow(_P, -1, 1 << 64)
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_K1, _K2, _K3, _K4 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
+#: Spans of more bytes than this are hashed by BLAKE2b, one by one.
+LONG = 64
 
 
-_POWERS: dict[int, np.ndarray] = {}
+def eights(raw: np.ndarray) -> np.ndarray:
+    """At each byte, and behind the last one, the eight bytes from there on as a number; zeros follow the end."""
+    return np.ndarray(len(raw) + 1, "<u8", raw.tobytes() + bytes(8), strides=(1,))
 
 
-def powers(n: int, base: int = _P) -> np.ndarray:
-    """base**0 to base**n modulo 2**64; the longest asked for is kept."""
-    if len(_POWERS.get(base, ())) <= n:
-        out = np.full(n + 1, np.uint64(base))
-        out[0] = 1
-        _POWERS[base] = np.cumprod(out, dtype=np.uint64)
-    return _POWERS[base][: n + 1]
+def span_hash(eight: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span [start, stop) of the bytes of :func:`eights`; depends on the span's bytes alone.
 
+    Eight bytes at a time go into two states of 64 bits, one by xor and one by sum, each mixed
+    after every step; long spans get a cryptographic hash.
+    """
+    size = np.asarray(stop - start)
+    start = np.asarray(start)
 
-def prefix_hash(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cumulative polynomial hash of bytes modulo 2**64 and the inverse powers that align its differences."""
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(len(raw))[:-1], out=total[1:])
-        return total, powers(len(raw), _P_INVERSE)
-
+    def step(a, b, lane):
+        return mix64(a ^ lane), (c := (b + lane) * _K3) ^ (c >> np.uint64(29))
 
-def span_hash(hashes: tuple[np.ndarray, np.ndarray], start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span [start, stop); depends on its bytes alone."""
-    total, inverse = hashes
     with np.errstate(over="ignore"):
-        return mix64((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64))
+        a = size.astype(np.uint64) * _K1
+        b = a + _K2
+        a, b = step(a, b, eight[start] & _MASK[np.minimum(size, 8)])
+        at, done = np.flatnonzero((size > 8) & (size <= LONG)), 8
+        while len(at):
+            a[at], b[at] = step(a[at], b[at], eight[start[at] + done] & _MASK[np.minimum(size[at] - done, 8)])
+            done += 8
+            at = at[size[at] > done]
+        out = mix64(a + b * _K4)
+    far = np.flatnonzero(size > LONG)
+    if len(far):
+        raw = memoryview(eight.base if isinstance(eight.base, bytes) else eight.tobytes())
+        out[far] = [int.from_bytes(blake2b(raw[x:y], digest_size=8).digest(), "little") for x, y in zip(start[far].tolist(), stop[far].tolist())]
+    return out
 
 
 _SPACE = np.zeros(256, bool)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, fresh, prefix_hash, small_batches, small_join, span_hash, utf8_slices
+from .common import by_bytes, fresh, eights, small_batches, small_join, span_hash, utf8_slices
 
 WINDOW, RUN, POINTS, PER_FILTER, BITS, CLASSES = 64, 64, 16, 160, 2_048, 1_001
 #: Where fewer than FEW windows have the points, the points asked for are halved until there are as many.
@@ -118,7 +118,7 @@ def _spans(text: bytes) -> np.ndarray:
     raw = np.frombuffer(text, np.uint8)
     size = min(len(raw), 8 if len(raw) >= 48 else 4 if len(raw) >= 12 else 2)
     start = np.arange(len(raw) - size + 1) if size else np.zeros(0, np.int64)
-    return _first(span_hash(prefix_hash(raw), start, start + size))
+    return _first(span_hash(eights(raw), start, start + size))
 
 
 def _first(found: np.ndarray) -> np.ndarray:
@@ -140,7 +140,7 @@ def feature_lists(texts: list[bytes], ranks: np.ndarray, shared: list[tuple[int,
         pieces.append(text[skip[-1] :])
     raw = np.frombuffer(b"".join(pieces), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
-    hashes = prefix_hash(raw)
+    hashes = eights(raw)
     place, usable = _leaders(ranks[entropy_classes(raw)])
     out = []
     for i, text in enumerate(texts):

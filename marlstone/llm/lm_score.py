@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct, fresh, held_out, mix64, prefix_hash, small_batches, span_hash, stored, utf8_slices
+from .common import distinct, fresh, held_out, mix64, eights, small_batches, span_hash, stored, utf8_slices
 
 DEPTH, END = 6, 255
 #: Text in a block, and text for each bucket; a block sends one message to each bucket.
@@ -79,7 +79,7 @@ def word_hashes(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     start = np.concatenate([[0], stop[:-1] + 1]).astype(np.int64) if len(stop) else stop
     last = text[stop] == END
     full = stop > start  # an empty text has no word before its end
-    word = span_hash(prefix_hash(text), start, stop)
+    word = span_hash(eights(text), start, stop)
     n = full.astype(np.int64) + last
     at = np.concatenate([[0], np.cumsum(n)])
     out = np.empty(at[-1], np.uint64)

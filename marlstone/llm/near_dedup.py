@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_arrow, by_bytes, discard, fresh, lower_ascii, mix64, prefix_hash, small_join, span_hash, stored, utf8_slices, words_of
+from .common import append_arrow, by_bytes, discard, fresh, lower_ascii, mix64, eights, small_join, span_hash, stored, utf8_slices, words_of
 
 HASHES, ROWS, BITS, SHINGLE = 128, 4, 4, 5
 BANDS = HASHES // ROWS
@@ -41,7 +41,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> t
     """Distinct shingle hashes of all rows, ascending in each, and the rows' offsets into them."""
     raw, n = lower_ascii(raw), len(offsets) - 1
     start, stop, row = words_of(raw, offsets)
-    word = span_hash(prefix_hash(raw), start, stop)
+    word = span_hash(eights(raw), start, stop)
     count = np.bincount(row, minlength=n)
     steps = _STEPS if size == SHINGLE else np.random.default_rng(size).integers(1, 1 << 63, size + 1, dtype=np.uint64) | np.uint64(1)
     with np.errstate(over="ignore"):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_arrow, by_bytes, discard, fresh, held_out, labelled_sample, lower_ascii, prefix_hash, span_hash, stored, utf8_slices, words_of
+from .common import append_arrow, by_bytes, discard, fresh, held_out, labelled_sample, lower_ascii, eights, span_hash, stored, utf8_slices, words_of
 
 SHAPES, CHUNK = 192, 1_000_000
 
@@ -47,10 +47,10 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     keep[1:] = kind[1:] != kind[:-1]
     keep[start] = True
     place = np.concatenate([[0], np.cumsum(keep)])
-    shape = span_hash(prefix_hash(kind[keep]), place[start], place[stop]) % np.uint64(SHAPES)
+    shape = span_hash(eights(kind[keep]), place[start], place[stop]) % np.uint64(SHAPES)
     np.add.at(out.reshape(-1), row * out.shape[1] + shape.astype(np.int64), per_word[row].astype(np.float32))
 
-    word = span_hash(prefix_hash(lower_ascii(raw)), start, stop)
+    word = span_hash(eights(lower_ascii(raw)), start, stop)
     same = np.zeros(len(word), bool)
     same[1:] = (word[1:] == word[:-1]) & (row[1:] == row[:-1])
     order = np.lexsort((word, row))

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_arrow, by_bytes, fresh, mix64, prefix_hash, span_hash, utf8_slices
+from .common import append_arrow, by_bytes, fresh, mix64, eights, span_hash, utf8_slices
 
 CHUNK, BITS = 500_000, 28
 _STEP, _SPREAD, _SLOTS = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E3779B97F4A7C15), 21
@@ -123,7 +123,7 @@ def _sample(t: Pieces, raw: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -
     stop = np.append(start[1:], len(raw))
     row = np.searchsorted(offsets, start, side="right") - 1
 
-    _, first, which = np.unique(span_hash(prefix_hash(raw), start, stop), return_index=True, return_inverse=True)
+    _, first, which = np.unique(span_hash(eights(raw), start, stop), return_index=True, return_inverse=True)
     size = (stop - start)[first]
     base = np.concatenate([[0], np.cumsum(size)])
     owner = np.repeat(np.arange(len(first)), size)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_arrow, by_bytes, discard, distinct, fresh, labelled_sample, lower_ascii, mix64, prefix_hash, span_hash, utf8_slices
+from .common import append_arrow, by_bytes, discard, distinct, fresh, labelled_sample, lower_ascii, mix64, eights, span_hash, utf8_slices
 
 PREFIXES = (3, 4, 5, 6, 7, 8)
 CHUNK = 1_000_000
@@ -50,7 +50,7 @@ def terms_of(raw: np.ndarray, offsets: np.ndarray):
     last[:-1] &= ~letter[1:] | edge[1:-1]
     start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
     row = np.searchsorted(offsets, start, side="right") - 1
-    hashes = prefix_hash(raw)
+    hashes = eights(raw)
     yield row, span_hash(hashes, start, stop)
     for n in PREFIXES:
         longer = stop - start > n

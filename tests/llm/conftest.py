@@ -36,3 +36,11 @@ def empty(spark):
 @pytest.fixture(scope="session")
 def labels(spark):
     return spark.createDataFrame([(i, i % 2, (i + 1) % 2) for i in range(12)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="session", params=[1_024, 4_096])
+def confused(request):
+    """Two different words that polynomial hashes modulo 2**64 take for one: the Thue-Morse word and its complement."""
+    n = request.param
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
