@@ -6,19 +6,21 @@ import re
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import append_arrow
 
-#: A text longer than this many characters is encoded in parts of about that size.
+#: A text of more characters than this is encoded in parts of about that size.
 PART_CHARS = 16_384
-#: Parts are handed to the library in batches of about this many characters.
-BATCH_CHARS = 1_000_000
+#: Parts are handed to the library in batches of about this many UTF-8 bytes.
+BATCH_BYTES = 1_000_000
 
-#: A space after a solid character.  No piece joins a solid character to a following
-#: space, and the library puts one space in front of each text; so encoding what stands
-#: before such a space, and what stands after it, gives the pieces of the whole.
-_SAFE = re.compile("(?<=[^ ▁]) ")
+#: A space after a solid character, with more text behind it.  No piece joins a solid character
+#: to a following space, and the library puts one space in front of each text; so encoding what
+#: stands before such a space, and what stands after it, gives the pieces of the whole.  (At the
+#: end of a text nothing would be left to put the space in front of.)
+_SAFE = re.compile("(?<=[^ ▁]) (?=.)", re.S)
 
 
 @lru_cache(maxsize=2)
@@ -52,26 +54,34 @@ def parts(text: str, size: int = PART_CHARS) -> list[str]:
     return [*out, text[start:]]
 
 
-def lengths(texts: list[str], path: str) -> list[int]:
-    """Tokens of each text; works through batches of parts balanced by size."""
-    model, out = _piece_model(path), [0] * len(texts)
-    split = splits_safely(path)
-    batch, owner, held = [], [], 0
-
-    def flush():
-        for i, ids in zip(owner, model.encode(batch, num_threads=1)):
-            out[i] += len(ids)
-
-    for i, text in enumerate(texts):
-        for part in parts(text) if split else [text]:
-            batch.append(part)
-            owner.append(i)
-            held += len(part)
-            if held >= BATCH_CHARS:
-                flush()
-                batch, owner, held = [], [], 0
+def _batches(parts):
+    """Lists of (row, text) of about :data:`BATCH_BYTES` bytes, or of one longer text, from (row, text, bytes)."""
+    batch, held = [], 0
+    for row, text, size in parts:
+        if batch and held + size > BATCH_BYTES:
+            yield batch
+            batch, held = [], 0
+        batch.append((row, text))
+        held += size
     if batch:
-        flush()
+        yield batch
+
+
+def lengths(texts: list[str], sizes: list[int], path: str) -> list[int]:
+    """Tokens of each text (with ``sizes`` in bytes), by a sentencepiece model."""
+    model, split, out = _piece_model(path), splits_safely(path), [0] * len(texts)
+
+    def cut():
+        for row, (text, size) in enumerate(zip(texts, sizes)):
+            if len(text) <= PART_CHARS or not split:
+                yield row, text, size
+            else:
+                for part in parts(text):
+                    yield row, part, len(part.encode())
+
+    for batch in _batches(cut()):
+        for (row, _), ids in zip(batch, model.encode([text for _, text in batch], num_threads=1)):
+            out[row] += len(ids)
     return out
 
 
@@ -82,29 +92,23 @@ def _json_model(path: str):
     return Tokenizer.from_file(path)
 
 
-def json_lengths(texts: list[str], path: str) -> list[int]:
+def json_lengths(texts: list[str], sizes: list[int], path: str) -> list[int]:
+    """Tokens of each text, by a tokenizers file: whole texts, as its rules may look across any place."""
     model = _json_model(path)
     model.no_truncation()
     model.no_padding()
-    out, batch, held = [], [], 0
-    for text in [*texts, None]:
-        if text is None or held >= BATCH_CHARS:
-            out += [len(x.ids) for x in model.encode_batch(batch, add_special_tokens=False)] if batch else []
-            batch, held = [], 0
-        if text is not None:
-            batch.append(text)
-            held += len(text)
-    return out
+    return [len(x.ids) for batch in _batches(zip(range(len(texts)), texts, sizes)) for x in model.encode_batch([text for _, text in batch], add_special_tokens=False)]
 
 
 def token_counts(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", text: str = "text", limit: int = 4096, carry_text: bool = True) -> DataFrame:
     """``docs`` with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit).
 
     ``tokenizer`` is a file of public_tokenizers or an absolute path.  The whole text is
-    encoded, without begin, end or other added tokens.  Null and empty texts have 0 bytes
-    and 0 tokens; repeated rows stay repeated; an empty table gives an empty table.  Texts
-    of any length are encoded in parts cut where no token can cross; one without such a
-    place is encoded whole.  ``carry_text=False`` leaves the text out of the result.
+    counted, without begin, end or other added tokens.  Null and empty texts have 0 bytes
+    and 0 tokens; repeated rows stay repeated; an empty table gives an empty table; columns
+    of ``docs`` that have the name of a new one give way.  With a ``.model`` file a long text
+    is encoded in parts cut where no piece can cross, and one without such a place whole; with
+    a ``.json`` file every text is encoded whole.  ``carry_text=False`` leaves the text out.
     """
 
     def make():
@@ -114,10 +118,9 @@ def token_counts(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", text:
         count_of = json_lengths if path.endswith(".json") else lengths
 
         def work(column):
-            texts = [t or "" for t in column.to_pylist()]
-            sizes = [len(t.encode()) for t in texts]
-            counts = count_of(texts, path)
-            return pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())
+            n_bytes = pc.fill_null(pc.binary_length(column), 0).cast(pa.int64())
+            counts = count_of([t or "" for t in column.to_pylist()], n_bytes.to_pylist(), path)
+            return n_bytes, pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())
 
         return work
 
