@@ -7,30 +7,41 @@ Krichevsky and Trofimov, and the weighted probability of a node is the mean of i
 estimate and of the product of its children's; the model is the mixture of all trees that
 follows, with the weights that the training texts left.
 
-The trees grow with the corpus, so they are nowhere gathered whole.  Training counts of
-(context, byte) are summed in buckets by the two nearest bytes of context, which hold whole
-subtrees; only the nodes above (at most 256 * 257 of them, by the alphabet) go to the driver.
-To score, the documents are dealt into blocks; a block asks each bucket for the distinct
-(context, byte) pairs and words that it holds, and gets their probabilities and counts back.
-
-The base score needs the corpus counts of the words; these are looked up by 64-bit hashes.
+The trees grow with the corpus, so they are nowhere gathered whole.  Training counts of grams
+(a context and the byte after it) are summed in slots by a hash of the ``ROOT`` nearest bytes
+of context, so a slot has whole subtrees; there are as many slots as the size of the corpus
+asks for.  The nodes above, at most 2**24 of them by the alphabet, go to the driver.  To score,
+the documents are dealt into blocks; a block asks the slots that it has grams of for their
+probabilities.  A slot that many blocks ask much of is copied for several lots of blocks.
+Texts, blocks and slots are worked through in slices, so none has to fit in memory as arrays.
+
+The base score needs the corpus counts of the words; these travel likewise, by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct, fresh, held_out, mix64, eights, small_batches, span_hash, stored, utf8_slices
-
-DEPTH, END = 6, 255
-#: Text in a block, and text for each bucket; a block sends one message to each bucket.
-BLOCK_BYTES, BUCKET_BYTES, BUCKETS = 3_000_000, 4_000_000, 4_096
+from .common import by_bytes, distinct, eights, fresh, held_out, mix64, small_batches, small_join, span_hash, stored, utf8_slices
+
+DEPTH, ROOT, END = 6, 3, 255
+#: Text in a block, and text for each slot.
+BLOCK_BYTES, SLOT_BYTES = 16_000_000, 16_000_000
+#: Text, model grams and asked grams that are worked on at a time; distinct grams that a counting task holds.
+SLICE, CHUNK, ASKED, HELD = 1_000_000, 100_000, 200_000, 3_000_000
+#: Grams that one copy of a slot is asked for, about, unless it has more itself.
+LOT = 4_000_000
+#: Above this many bytes the sums of the counting tasks meet in groups first.
+ROUND_BYTES = 8_000_000_000
 #: Log probabilities travel as whole numbers of this fraction.
 UNIT = 2.0**-18
 
@@ -40,7 +51,8 @@ _FOLD[9:14] = 32
 # Where byte j before the last stands in a gram: the nearest in the highest place.
 _PLACE = [0, *(8 * (DEPTH + 1 - j) for j in range(1, DEPTH + 1))]
 _BEFORE = [np.uint64(sum(255 << _PLACE[j] for j in range(p + 1, DEPTH + 1))) for p in range(DEPTH)]
-_END_WORD = np.uint64(0xE7037ED1A0B428DB)
+_END_WORD = np.uint64(0x4CF5AD432745937F)
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def symbols(column) -> tuple[np.ndarray, np.ndarray]:
@@ -61,31 +73,77 @@ def symbols(column) -> tuple[np.ndarray, np.ndarray]:
     return out, upto
 
 
-def grams(text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def grams(text: np.ndarray, offsets: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
     """For each byte a number of DEPTH + 1 bytes: its context, the nearest byte first, and itself last.
-    What lies before a text counts as END."""
-    ahead = np.concatenate([np.full(7, END, np.uint8), text]).tobytes()
+    What lies before a text counts as END; ``before``: what lies before a first text that goes on."""
+    ahead = np.full(7, END, np.uint8)
+    if before is not None:
+        ahead[7 - len(before) :] = before
+    ahead = np.concatenate([ahead, text]).tobytes()
     eight = np.ndarray(len(text), "<u8", ahead, strides=(1,))  # the byte in the highest place, the nearest before it next
     out = ((eight << np.uint64(8)) >> np.uint64(8 * (7 - DEPTH))) & ~np.uint64(255) | (eight >> np.uint64(56))
+    begin, end = (offsets[:-1], offsets[1:]) if before is None else (offsets[1:-1], offsets[2:])
     for p in range(DEPTH):
-        at = offsets[:-1] + p
-        out[at[at < offsets[1:]]] |= _BEFORE[p]
+        at = begin + p
+        out[at[at < end]] |= _BEFORE[p]
     return out
 
 
-def word_hashes(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens (words, and one end for each text), and the texts' offsets into them."""
-    stop = np.flatnonzero((text == 32) | (text == END))
-    start = np.concatenate([[0], stop[:-1] + 1]).astype(np.int64) if len(stop) else stop
-    last = text[stop] == END
-    full = stop > start  # an empty text has no word before its end
-    word = span_hash(eights(text), start, stop)
-    n = full.astype(np.int64) + last
-    at = np.concatenate([[0], np.cumsum(n)])
-    out = np.empty(at[-1], np.uint64)
-    out[at[:-1][full]] = word[full]
-    out[at[1:][last] - 1] = _END_WORD
-    return out, np.concatenate([[0], at[1:][last]])
+def _pieces(raw: np.ndarray):
+    """The symbols of one long text in pieces that end behind a word."""
+    data, at, held = memoryview(np.ascontiguousarray(raw)), 0, b""
+    while at < len(data):
+        gap = _GAP.search(data, at + SLICE)
+        stop = gap.start() if gap else len(data)
+        words = bytes(data[at:stop]).lower().split()
+        at = stop
+        if words:
+            if held:
+                yield np.frombuffer(held + b" ", np.uint8)
+            held = b" ".join(words)
+    yield np.frombuffer(held + bytes([END]), np.uint8)
+
+
+def slices(column):
+    """(first row, symbols, offsets, symbols before) of slices of the texts.  A slice has whole
+    texts, or a piece of one long text; only its first piece has nothing before it."""
+    column = pc.fill_null((column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.large_string()), "")
+    raw, offsets = utf8_slices(column)
+    for a, b in by_bytes(offsets, SLICE):
+        if offsets[b] - offsets[a] <= SLICE:
+            yield a, *symbols(column.slice(a, b - a)), None
+            continue
+        before = None
+        for text in _pieces(raw[offsets[a] : offsets[b]]):
+            for i in range(0, len(text), 2 * SLICE):  # a word may be longer than a slice
+                part = text[i : i + 2 * SLICE]
+                yield a, part, np.array([0, len(part)]), before
+                before = np.concatenate([before if before is not None else np.full(DEPTH, END, np.uint8), part[-DEPTH:]])[-DEPTH:]
+
+
+class Tokens:
+    """Hashes of the tokens (words, and one end for each text) of successive slices, with their rows."""
+
+    def __init__(self):
+        self.begun: list[bytes] = []  # of a word that a slice left open
+
+    def __call__(self, row: int, text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        stop = np.flatnonzero((text == 32) | (text == END))
+        if not len(stop):
+            self.begun.append(text.tobytes())
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        start = np.concatenate([[0], stop[:-1] + 1])
+        tail = text[stop[-1] + 1 :].tobytes()
+        last, rows = text[stop] == END, row + np.searchsorted(offsets, stop, side="right") - 1
+        if self.begun:
+            whole = np.frombuffer(b"".join(self.begun) + text[: stop[0]].tobytes(), np.uint8)
+            first = span_hash(eights(whole), np.array([0]), np.array([len(whole)]))
+        full = stop > start  # an empty text has no word before its end
+        word = span_hash(eights(text), start, stop)
+        if self.begun:
+            word[0], full[0] = first[0], True
+        self.begun = [tail] if tail else []
+        return np.concatenate([word[full], np.full(int(last.sum()), _END_WORD)]), np.concatenate([rows[full], rows[last]])
 
 
 def total(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,14 +154,49 @@ def total(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[new], np.add.reduceat(counts, new) if len(new) else counts
 
 
+def tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and how often each occurs."""
+    keys = np.sort(keys)
+    new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[new], np.diff(np.append(new, len(keys)))
+
+
+class Sums:
+    """Keys with summed counts, merged whenever as much as is held has come."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self):
+        self.keys, self.counts, self.new, self.waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray):
+        self.new.append((keys, counts))
+        self.waiting += len(keys)
+        if self.waiting > max(HELD // 3, len(self.keys)):
+            self.merge()
+
+    def merge(self):
+        if self.new:
+            self.keys, self.counts = total(np.concatenate([self.keys, *(k for k, _ in self.new)]), np.concatenate([self.counts, *(c for _, c in self.new)]))
+            self.new, self.waiting = [], 0
+        return self.keys, self.counts
+
+
 def to_planes(a: np.ndarray) -> bytes:
-    """Bytes of equal significance side by side, which compress well."""
-    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+    """Non-negative whole numbers: bytes of equal significance side by side, without those that are all zero."""
+    a = np.ascontiguousarray(a, np.uint64)
+    n = (int(a.max(initial=0)).bit_length() + 7) // 8
+    return bytes([n]) + a.view(np.uint8).reshape(len(a), 8).T[:n].tobytes() if n else bytes([0]) + bytes(len(a))
 
 
-def from_planes(data, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+def from_planes(data) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    n, raw = int(raw[0]), raw[1:]
+    planes = raw.reshape(max(n, 1), -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : max(n, 1)] = planes.T
+    return out.view(np.uint64).ravel()
 
 
 def pack(ascending: np.ndarray) -> bytes:
@@ -111,11 +204,24 @@ def pack(ascending: np.ndarray) -> bytes:
 
 
 def unpack(data) -> np.ndarray:
-    return np.cumsum(from_planes(data, np.uint64), dtype=np.uint64)
+    return np.cumsum(from_planes(data), dtype=np.uint64)
+
 
+def slot_of(keys: np.ndarray, slots: int) -> np.ndarray:
+    return (mix64(keys >> np.uint64(_PLACE[ROOT])) % np.uint64(slots)).astype(np.int64)
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix64(keys >> np.uint64(_PLACE[2])) % np.uint64(buckets)).astype(np.int64)
+
+def word_slot(words: np.ndarray, slots: int) -> np.ndarray:
+    """The slots of words come behind those of grams."""
+    return (words % np.uint64(slots)).astype(np.int64) + slots
+
+
+def by_slot(where: np.ndarray):
+    """The order of keys by slot, and (slot, start, stop) for each slot that has any."""
+    order = np.argsort(where.astype(np.uint16 if where.max(initial=0) < 1 << 16 else np.int64), kind="stable")
+    where = where[order]
+    new = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(where) else np.zeros(0, np.int64)
+    return order, list(zip(where[new].tolist(), new.tolist(), np.append(new[1:], len(where)).tolist()))
 
 
 _LOG_GAMMA = np.array([[math.lgamma(n + 0.5), math.lgamma(n + 1)] for n in range(2_048)])
@@ -142,19 +248,20 @@ def weighted(own: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Subtrees:
-    """The nodes from depth 2 on for the grams of a bucket: for each depth and bit, sorted node
-    keys with the estimate for a one and the share of the own estimate; and the sums for depth 1."""
+    """The nodes below depth ROOT for grams that hold whole contexts of ROOT + 1 bytes: for each
+    depth and bit, sorted node keys with the estimate for a one and the share of the own
+    estimate; and the sums for the nodes of depth ROOT (codes: context, then decision)."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         levels = {DEPTH: (keys, counts)}
-        for d in range(DEPTH - 1, 0, -1):
+        for d in range(DEPTH - 1, ROOT - 1, -1):
             k, c = levels[d + 1]
             levels[d] = total((k >> np.uint64(16) << np.uint64(8)) | (k & np.uint64(255)), c)
         self.nodes: dict[tuple[int, int], tuple] = {}
-        codes, tops = [], []
+        codes, sums = [], []
         for t in range(8):
             children = None
-            for d in range(DEPTH, 0, -1):
+            for d in range(DEPTH, ROOT - 1, -1):
                 k, c = levels[d]
                 g = k >> np.uint64(8 - t)
                 new = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
@@ -165,180 +272,303 @@ class Subtrees:
                 if children is not None:
                     up, value = children
                     below = np.bincount(np.searchsorted(g, up), weights=value, minlength=len(g))
-                if d == 1:
-                    q = (g & np.uint64((1 << t) - 1)).astype(np.int64) | (1 << t)
-                    codes.append((g >> np.uint64(t)).astype(np.int64) << 8 | q)
-                    tops.append(np.stack([n - n1, n1, below], 1) if len(g) else np.zeros((0, 3)))
+                if d == ROOT:
+                    codes.append((g >> np.uint64(t) << np.uint64(8)) | (g & np.uint64((1 << t) - 1)) | np.uint64(1 << t))
+                    sums.append(np.stack([n - n1, n1, below], 1) if len(g) else np.zeros((0, 3)))
                     break
                 own = log_kt(n - n1, n1)
                 both, share = (own, np.ones(len(own))) if d == DEPTH else weighted(own, below)
                 self.nodes[d, t] = g, (n1 + 0.5) / (n + 1.0), share
                 children = (g >> np.uint64(t + 8) << np.uint64(t)) | (g & np.uint64((1 << t) - 1)), both
-        self.codes, self.tops = np.concatenate(codes), np.concatenate(tops)
+        self.codes, self.sums = np.concatenate(codes), np.concatenate(sums)
 
-    def log10_probability(self, keys: np.ndarray, top: np.ndarray) -> np.ndarray:
-        """Of each gram's byte after its context; ``top``: :func:`upper_nodes`."""
-        out, low = np.zeros(len(keys)), (keys & np.uint64(255)).astype(np.int64)
-        near = (keys >> np.uint64(_PLACE[1])).astype(np.int64)
+    def log10_probability(self, keys: np.ndarray, roots: Nodes, top: Upper) -> np.ndarray:
+        """Of each gram's byte after its context."""
+        out, low = np.zeros(len(keys)), keys & np.uint64(255)
+        at = [keys >> np.uint64(_PLACE[d]) << np.uint64(8) if d else np.zeros(len(keys), np.uint64) for d in range(ROOT + 1)]
         for t in range(8):
-            one = (low >> (7 - t)) & 1 == 1
-            head = np.uint64(1 << t) - np.uint64(1)
-            begin = (keys & np.uint64(255)) >> np.uint64(8 - t)
+            one = (low >> np.uint64(7 - t)) & np.uint64(1) == 1
+            begin = low >> np.uint64(8 - t)
             p = np.full(len(keys), 0.5)
-            for d in range(DEPTH, 1, -1):
+            for d in range(DEPTH, ROOT, -1):
                 g, estimate, share = self.nodes[d, t]
                 if not len(g):
                     continue
-                want = (keys >> np.uint64(_PLACE[d]) << np.uint64(t)) | (begin & head)
+                want = (keys >> np.uint64(_PLACE[d]) << np.uint64(t)) | begin
                 i = np.searchsorted(g, want)
                 i[i == len(g)] = 0
-                seen = g[i] == want
-                kt = np.where(one, estimate[i], 1 - estimate[i])
-                p = np.where(seen, share[i] * kt + (1 - share[i]) * p, 0.5)
-            q = begin.astype(np.int64) | (1 << t)
-            for row in ((near + 1) * 256 + q, q):
-                kt = np.where(one, top[row, 0], 1 - top[row, 0])
-                p = top[row, 1] * kt + (1 - top[row, 1]) * p
+                p = _mixed(p, one, g[i] == want, estimate[i], share[i])
+            q = begin | np.uint64(1 << t)
+            for d, nodes in zip(range(ROOT, -1, -1), (roots, *top.levels)):
+                p = nodes.mixed(p, one, at[d] | q)
             out += np.log10(p)
         return out
 
 
-def upper_nodes(codes: np.ndarray, sums: np.ndarray) -> np.ndarray:
-    """Estimate for a one, and share of the own estimate, for the nodes of depth 0 (rows 0 to 255)
-    and 1 (row 256 * (byte + 1) + decision)."""
-    zeros, ones, below = (np.zeros(1 << 16) for _ in range(3))
-    zeros[codes], ones[codes], below[codes] = sums.T
+def _mixed(p, one, seen, estimate, share):
+    kt = np.where(one, estimate, 1 - estimate)
+    return np.where(seen, share * kt + (1 - share) * p, 0.5)
+
+
+@dataclass
+class Nodes:
+    """Nodes of one depth: sorted codes (context, then decision), the estimate for a one, the share of the own estimate."""
+
+    codes: np.ndarray
+    estimate: np.ndarray
+    share: np.ndarray
+
+    def mixed(self, p, one, want):
+        if not len(self.codes):
+            return np.full(len(p), 0.5)
+        i = np.searchsorted(self.codes, want)
+        i[i == len(self.codes)] = 0
+        return _mixed(p, one, self.codes[i] == want, self.estimate[i], self.share[i])
+
+
+def nodes_of(codes: np.ndarray, sums: np.ndarray) -> tuple[Nodes, np.ndarray, np.ndarray]:
+    """Nodes of a depth from the zeros, ones and children's log weights; and codes and sums of the depth above."""
+    zeros, ones, below = sums.T if len(sums) else np.zeros((3, 0))
     both, share = weighted(log_kt(zeros, ones), below)
-    z0, n0, b0 = (a.reshape(256, 256).sum(0) for a in (zeros, ones, both))
-    _, share0 = weighted(log_kt(z0, n0), b0)
-    return np.stack([np.concatenate([(n0 + 0.5) / (z0 + n0 + 1), (ones + 0.5) / (zeros + ones + 1)]), np.concatenate([share0, share])], 1)
+    up, at = np.unique((codes >> np.uint64(16) << np.uint64(8)) | (codes & np.uint64(255)), return_inverse=True)
+    above = np.stack([np.bincount(at, weights=x, minlength=len(up)) for x in (zeros, ones, both)], 1) if len(up) else np.zeros((0, 3))
+    return Nodes(codes, (ones + 0.5) / (zeros + ones + 1), share), up, above
+
+
+@dataclass
+class Upper:
+    """The nodes of depths ROOT - 1 to 0."""
+
+    levels: list[Nodes]
+
+
+def upper_nodes(codes: np.ndarray, sums: np.ndarray) -> Upper:
+    """From the sums for depth ROOT - 1; codes need not be in order, but distinct."""
+    order, levels = np.argsort(codes), []
+    codes, sums = codes[order].astype(np.uint64), sums[order]
+    for _ in range(ROOT):
+        nodes, codes, sums = nodes_of(codes, sums)
+        levels.append(nodes)
+    return Upper(levels)
+
+
+def chunks(keys: np.ndarray):
+    """(start, stop) of about CHUNK grams that hold whole contexts of ROOT + 1 bytes."""
+    context, at = keys >> np.uint64(_PLACE[ROOT + 1]), 0
+    while at < len(keys):
+        stop = at + CHUNK
+        if stop < len(keys):
+            stop = int(np.searchsorted(context, context[stop]))
+            if stop <= at:
+                stop = int(np.searchsorted(context, context[at], side="right"))
+        stop = min(stop, len(keys))
+        yield at, stop
+        at = stop
+
+
+def root_sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and sums of the nodes of depth ROOT."""
+    trees = [Subtrees(keys[a:b], counts[a:b]) for a, b in chunks(keys)]
+    if not trees:
+        return np.zeros(0, np.uint64), np.zeros((0, 3))
+    codes, at = np.unique(np.concatenate([t.codes for t in trees]), return_inverse=True)
+    sums = np.concatenate([t.sums for t in trees])
+    return codes, np.stack([np.bincount(at, weights=x, minlength=len(codes)) for x in sums.T], 1)
+
+
+def probabilities(wanted: np.ndarray, keys: np.ndarray, counts: np.ndarray, codes: np.ndarray, sums: np.ndarray, top: Upper) -> np.ndarray:
+    """log10 of the probability of each of the ascending grams by a slot's model."""
+    roots, out = nodes_of(codes, sums)[0], np.empty(len(wanted))
+    spans = list(chunks(keys)) or [(0, 0)]
+    begin = [0, *(keys[a] >> np.uint64(_PLACE[ROOT + 1]) << np.uint64(_PLACE[ROOT + 1]) for a, _ in spans[1:])]
+    cuts = [*np.searchsorted(wanted, np.array(begin, np.uint64)).tolist(), len(wanted)]
+    for (a, b), x, y in zip(spans, cuts, cuts[1:]):
+        if x == y:
+            continue
+        tree = Subtrees(keys[a:b], counts[a:b])
+        for i in range(x, y, ASKED):
+            part = slice(i, min(i + ASKED, y))
+            out[part] = tree.log10_probability(wanted[part], roots, top)
+    return out
+
+
+_COUNTED = "slot int, lot int, keys binary, counts binary"
 
 
-def _count(buckets: int):
-    """Sums of the grams of a task's texts, one message for each bucket."""
+def _count(slots: int, groups: int):
+    """Sums of the grams and words of a task's texts, in messages for the slots."""
 
     def run(batches):
-        keys, counts, fresh_keys = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+        lot, grams_, words = TaskContext.get().partitionId() % groups, Sums(), Sums()
+
+        def flush():
+            for sums, home in ((grams_, slot_of), (words, word_slot)):
+                keys, counts = sums.merge()
+                order, found = by_slot(home(keys, slots))
+                keys, counts = keys[order], counts[order]
+                sums.clear()
+                for i in range(0, len(found), 64):
+                    some = found[i : i + 64]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([x for x, _, _ in some], pa.int32()), pa.array([lot] * len(some), pa.int32()), pa.array([pack(keys[a:b]) for _, a, b in some], pa.binary()), pa.array([to_planes(counts[a:b]) for _, a, b in some], pa.binary())],
+                        ["slot", "lot", "keys", "counts"],
+                    )
 
-        def merge():
-            nonlocal keys, counts, fresh_keys
-            k = np.concatenate([keys, *(x for x, _ in fresh_keys)])
-            keys, counts = total(k, np.concatenate([counts, *(c for _, c in fresh_keys)]))
-            fresh_keys = []
+        for batch in batches:
+            tokens = Tokens()
+            for row, text, offsets, before in slices(batch.column(0)):
+                grams_.add(*tally(grams(text, offsets, before)))
+                words.add(*tally(tokens(row, text, offsets)[0]))
+                if max(len(grams_.keys), len(words.keys)) > HELD:
+                    yield from flush()
+        yield from flush()
+
+    return run
 
+
+def _combine(finish):
+    """Rows of equal slot and lot, which follow one another, summed; ``finish`` makes a batch of each sum."""
+
+    def run(batches):
+        held, sums = None, Sums()
         for batch in batches:
-            column, size = batch.column(0), max(1, batch.column(0).nbytes // 2_000_000)
-            step = -(-len(column) // size)
-            for a in range(0, len(column), max(1, step)):
-                g = np.sort(grams(*symbols(column.slice(a, step))))
-                new = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-                fresh_keys.append((g[new], np.diff(np.append(new, len(g)))))
-                if sum(len(x) for x, _ in fresh_keys) > max(2_000_000, len(keys)):
-                    merge()
-        merge()
-        yield _messages(keys, counts, buckets)
+            for slot, lot, keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                if held not in (None, (slot, lot)):
+                    yield finish(*held, *sums.merge())
+                    sums.clear()
+                held = slot, lot
+                sums.add(unpack(keys.as_buffer()), from_planes(counts.as_buffer()).astype(np.int64))
+        if held:
+            yield finish(*held, *sums.merge())
 
     return run
 
 
-def _messages(keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
-    where = bucket_of(keys, buckets)
-    order = np.argsort(where.astype(np.uint16), kind="stable")
-    cuts = np.searchsorted(where[order], np.arange(buckets + 1))
-    parts = [order[a:b] for a, b in zip(cuts, cuts[1:])]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.arange(buckets, dtype=np.int32)), pa.array([pack(keys[p]) for p in parts], pa.binary()), pa.array([to_planes(counts[p]) for p in parts], pa.binary())],
-        ["bucket", "grams", "counts"],
-    )
+def _row(schema: str, *values) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([v], kinds[kind]) for v, (_, kind) in zip(values, fields)], [name for name, _ in fields])
+
+
+def _subtotal(slot: int, lot: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return _row(_COUNTED, slot, lot, pack(keys), to_planes(counts))
+
+
+_MODEL = "slot int, keys binary, counts binary, codes binary, sums binary, types long, tokens long, asks long"
+
 
+def _model(slots: int, blocks: int):
+    """A model's row: a slot's grams with its nodes of depth ROOT, or its words.  asks: grams that all blocks can ask of it, about."""
 
-def _sum_bucket(messages: pa.Table) -> pa.Table:
-    keys = [unpack(x.as_buffer()) for x in messages.column("grams")]
-    counts = [from_planes(x.as_buffer(), np.int64) for x in messages.column("counts")]
-    k, c = total(np.concatenate(keys), np.concatenate(counts))
-    return pa.table({"bucket": messages.column("bucket").slice(0, 1), "grams": pa.array([pack(k)], pa.binary()), "counts": pa.array([to_planes(c)], pa.binary())})
+    def finish(slot: int, _: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        codes, sums = root_sums(keys, counts) if slot < slots else (np.zeros(0, np.uint64), np.zeros((0, 3)))
+        return _row(_MODEL, slot, pack(keys), to_planes(counts), pack(codes), sums.tobytes(), len(keys), int(counts.sum()), int(np.minimum(counts, blocks).sum()))
+
+    return finish
+
+
+def _roots(row_codes, row_sums) -> tuple[np.ndarray, np.ndarray]:
+    return unpack(row_codes.as_buffer()), np.frombuffer(row_sums.as_buffer(), np.float64).reshape(-1, 3)
 
 
 def _tops(batches):
+    """What the slots' nodes of depth ROOT add to the depth above."""
     for batch in batches:
-        for grams_, counts in zip(batch.column("grams"), batch.column("counts")):
-            tree = Subtrees(unpack(grams_.as_buffer()), from_planes(counts.as_buffer(), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(tree.codes.astype(np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in tree.tops.T)], ["code", "zeros", "ones", "below"])
+        for codes, sums in zip(batch.column(0), batch.column(1)):
+            _, up, above = nodes_of(*_roots(codes, sums))
+            yield pa.RecordBatch.from_arrays([pa.array(up.astype(np.int64)), *(pa.array(np.ascontiguousarray(c)) for c in above.T)], ["code", "zeros", "ones", "below"])
+
+
+def _wanted(column) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams and words of a block."""
+    found, tokens = [[], []], Tokens()
+    for row, text, offsets, before in slices(column):
+        for new, keys in zip(found, (grams(text, offsets, before), tokens(row, text, offsets)[0])):
+            new.append(distinct(keys))
+            if len(new) > 1 and sum(map(len, new[1:])) > max(HELD // 3, len(new[0])):
+                new[:] = [distinct(np.concatenate(new))]
+    return tuple(distinct(np.concatenate(x)) if x else np.zeros(0, np.uint64) for x in found)
+
 
+_ASK = "block int, slot int, keys binary"
 
-def _ask(buckets: int):
-    """The distinct grams and words of a block, with the words' counts in its training texts."""
+
+def _ask(slots: int):
+    """What a block wants to know: its distinct grams and words, by slot."""
 
     def run(block: pa.Table) -> pa.Table:
-        text, offsets = symbols(block.column("text").combine_chunks() if block.num_rows else block.column("text"))
-        wanted = distinct(grams(text, offsets))
-        token, cuts = word_hashes(text, offsets)
-        train = np.repeat(block.column("train").to_numpy(), np.diff(cuts))
-        words, counts = total(token, train.astype(np.int64))
-        where = bucket_of(wanted, buckets)
-        at = np.argsort(where.astype(np.uint16), kind="stable")
-        cut = np.searchsorted(where[at], np.arange(buckets + 1))
-        home = (words % np.uint64(buckets)).astype(np.int64)
-        word_at = np.argsort(home.astype(np.uint16), kind="stable")
-        word_cut = np.searchsorted(home[word_at], np.arange(buckets + 1))
-        rows = [(pack(wanted[at[a:b]]), pack(words[word_at[c:d]]), to_planes(counts[word_at[c:d]])) for a, b, c, d in zip(cut, cut[1:], word_cut, word_cut[1:])]
+        rows = []
+        for keys, home in zip(_wanted(block.column("text")), (slot_of, word_slot)):
+            order, found = by_slot(home(keys, slots))
+            keys = keys[order]
+            rows += [(slot, pack(keys[a:b])) for slot, a, b in found]
         number = block.column("block")[0].as_py()
-        return pa.table({"block": pa.array([number] * buckets, pa.int32()), "bucket": pa.array(np.arange(buckets, dtype=np.int32)), **{k: pa.array(list(v), pa.binary()) for k, v in zip(("grams", "words", "counts"), zip(*rows))}})
+        return pa.table({"block": pa.array([number] * len(rows), pa.int32()), "slot": pa.array([r[0] for r in rows], pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary())})
 
     return run
 
 
-_ANSWER = "block int, bucket int, scores binary, counts binary, tokens long, types long"
+_ANSWER = "block int, slot int, reply binary"
 
 
-def _answer(top):
-    """A bucket's reply to each block: probabilities of its grams, corpus counts of its words, and the bucket's totals."""
+def _answer(slots: int, top):
+    """A slot's reply to each block: probabilities of its grams, or corpus counts of its words."""
 
     def run(asked: pa.Table, model: pa.Table) -> pa.Table:
-        if not asked.num_rows:
-            return pa.table({"block": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "scores": pa.array([], pa.binary()), "counts": pa.array([], pa.binary()), "tokens": pa.array([], pa.int64()), "types": pa.array([], pa.int64())})
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        if model.num_rows:
-            keys, counts = unpack(model.column("grams")[0].as_buffer()), from_planes(model.column("counts")[0].as_buffer(), np.int64)
-        wanted = [unpack(x.as_buffer()) for x in asked.column("grams")]
-        every = distinct(np.concatenate(wanted))
-        score = Subtrees(keys, counts).log10_probability(every, top.value)
-        score = np.round(score / UNIT).astype(np.int32)
-        words = [unpack(x.as_buffer()) for x in asked.column("words")]
-        known, c = total(np.concatenate(words), np.concatenate([from_planes(x.as_buffer(), np.int64) for x in asked.column("counts")]))
-        n = asked.num_rows
-        return pa.table({
-            "block": asked.column("block"), "bucket": asked.column("bucket"),
-            "scores": pa.array([to_planes(score[np.searchsorted(every, w)]) for w in wanted], pa.binary()),
-            "counts": pa.array([to_planes(c[np.searchsorted(known, w)]) for w in words], pa.binary()),
-            "tokens": pa.array([int(c.sum())] * n, pa.int64()), "types": pa.array([int((c > 0).sum())] * n, pa.int64()),
-        })
+        replies = []
+        if asked.num_rows:
+            keys, counts = (unpack(model.column("keys")[0].as_buffer()), from_planes(model.column("counts")[0].as_buffer()).astype(np.int64)) if model.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            wanted = [unpack(x.as_buffer()) for x in asked.column("keys")]
+            every = distinct(np.concatenate(wanted))
+            if asked.column("slot")[0].as_py() < slots:
+                codes, sums = _roots(model.column("codes")[0], model.column("sums")[0]) if model.num_rows else (np.zeros(0, np.uint64), np.zeros((0, 3)))
+                value = np.round(probabilities(every, keys, counts, codes, sums, top.value) / -UNIT).astype(np.uint64)
+            else:
+                value = np.zeros(len(every), np.uint64)
+                if len(keys):
+                    i = np.minimum(np.searchsorted(keys, every), len(keys) - 1)
+                    value = np.where(keys[i] == every, counts[i], 0)
+            replies = [to_planes(value[np.searchsorted(every, w)]) for w in wanted]
+        return pa.table({"block": asked.column("block"), "slot": asked.column("slot"), "reply": pa.array(replies, pa.binary())})
 
     return run
 
 
-def _score(buckets: int, ident: str):
+def _score(slots: int, ident: str, train_tokens: int, train_types: int):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        text, offsets = symbols(block.column("text").combine_chunks())
-        asked, which = np.unique(grams(text, offsets), return_inverse=True)
-        order = np.argsort(answers.column("bucket").to_numpy())
-        take = lambda name, kind: np.concatenate([from_planes(answers.column(name)[int(i)].as_buffer(), kind) for i in order])
-        value = np.empty(len(asked))
-        value[np.argsort(bucket_of(asked, buckets).astype(np.uint16), kind="stable")] = take("scores", np.int32) * UNIT
-        score = np.add.reduceat(value[which], offsets[:-1])
-        del asked, which, value
-        token, cuts = word_hashes(text, offsets)
-        words, at = np.unique(token, return_inverse=True)
-        count = np.empty(len(words), np.int64)
-        count[np.argsort((words % np.uint64(buckets)).astype(np.uint16), kind="stable")] = take("counts", np.int64)
-        tokens, types = (int(np.sum(answers.column(name).to_numpy())) for name in ("tokens", "types"))
-        logs = np.add.reduceat(np.log10(count + 0.5)[at], cuts[:-1])
-        n = np.diff(cuts)
-        base = logs - n * math.log10(tokens + 0.5 * (types + 1))
+        column, n = block.column("text"), block.num_rows
+        replies = dict(zip(answers.column("slot").to_pylist(), answers.column("reply")))
+
+        def told(keys, home):
+            order, found = by_slot(home(keys, slots))
+            out = np.empty(len(keys), np.uint64)
+            for slot, a, b in found:
+                out[order[a:b]] = from_planes(replies[slot].as_buffer())
+            return out
+
+        wanted, words = _wanted(column)
+        value, count = told(wanted, slot_of) * -UNIT, told(words, word_slot).astype(np.int64)
+        log_count = np.log10(count + 0.5)
+        score, base, size, n_tokens, n_known = np.zeros(n), np.zeros(n), *(np.zeros(n, np.int64) for _ in range(3))
+        tokens = Tokens()
+        for row, text, offsets, before in slices(column):
+            g, here = grams(text, offsets, before), slice(row, row + len(offsets) - 1)
+            order = np.argsort(g)
+            g = g[order]
+            new = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+            each = np.repeat(value[np.searchsorted(wanted, g[new])], np.diff(np.append(new, len(g))))
+            owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+            score[here] += np.bincount(owner[order], weights=each, minlength=len(offsets) - 1)
+            size[here] += np.diff(offsets)
+            token, owner = tokens(row, text, offsets)
+            at = np.searchsorted(words, token)
+            base += np.bincount(owner, weights=log_count[at], minlength=n)
+            n_tokens += np.bincount(owner, minlength=n)
+            n_known += np.bincount(owner[count[at] > 0], minlength=n)
+        base -= n_tokens * math.log10(train_tokens + 0.5 * (train_types + 1))
         return pa.table({
-            ident: block.column(ident), "n_tokens": pa.array(n), "n_known": pa.array(np.add.reduceat((count > 0)[at].astype(np.int64), cuts[:-1])),
-            "train_tokens": pa.array(np.full(len(n), tokens)), "base_score": pa.array(base), "score": pa.array(score),
-            "bits_per_byte": pa.array(-score / math.log10(2) / np.diff(offsets)),
+            ident: block.column(ident), "n_tokens": pa.array(n_tokens), "n_known": pa.array(n_known), "train_tokens": pa.array(np.full(n, train_tokens)),
+            "base_score": pa.array(base), "score": pa.array(score), "bits_per_byte": pa.array(-score / math.log10(2) / size),
         })
 
     return run
@@ -351,26 +581,39 @@ def ctw_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modu
     ``modulus`` other than ``remainder`` (a null id counts as the empty text), all of them and
     whole.  score is log10 of the probability of the folded text with its end; bits_per_byte is
     its code length over the bytes of the folded text and its end.  Null and empty texts are one
-    end symbol.  Without training documents every decision has probability 1/2 and the base
-    counts are 0.  Repeated rows stay repeated; an empty table gives an empty table.
+    end symbol.  Long texts are whole, read in slices.  Without training documents every decision
+    has probability 1/2 and the base counts are 0.  Repeated rows stay repeated (and get equal
+    scores); an empty table gives an empty table; other columns of ``docs`` are not returned.
     """
     small_batches(docs.sparkSession)
-    ident, block, train, body = fresh(["n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte", "bucket"], "doc_id", "block", "train", "text")
+    ident, block, train, body = fresh(["n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte", "slot", "lot"], "doc_id", "block", "train", "text")
     rows = docs.select(F.col(f"`{doc_id}`").alias(ident), F.col(f"`{text}`").cast("string").alias(body), (~held_out(doc_id, remainder, modulus)).alias(train))
     size = rows.agg(F.sum(F.octet_length(body))).first()[0] or 0
-    buckets = int(min(BUCKETS, max(1, math.ceil(size / BUCKET_BYTES))))
-    blocks = max(1, math.ceil(size / block_bytes))
-
-    counted = rows.filter(train).select(body).mapInArrow(_count(buckets), "bucket int, grams binary, counts binary")
-    model = stored(counted.groupBy("bucket").applyInArrow(_sum_bucket, "bucket int, grams binary, counts binary"), "grams")
-    tops = model.mapInArrow(_tops, "code int, zeros double, ones double, below double").groupBy("code").agg(F.sum("zeros"), F.sum("ones"), F.sum("below")).toPandas()
-    top = docs.sparkSession.sparkContext.broadcast(upper_nodes(tops["code"].to_numpy(np.int64), tops.iloc[:, 1:].to_numpy(np.float64)))
-
-    dealt = rows.withColumn(block, F.pmod(F.xxhash64(ident, body), F.lit(blocks)).cast("int"))
-    asked = dealt.groupBy(block).applyInArrow(_ask(buckets), "block int, bucket int, grams binary, words binary, counts binary")
-    answers = asked.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(_answer(top), _ANSWER)
+    slots, blocks = max(1, math.ceil(size / SLOT_BYTES)), max(1, math.ceil(size / block_bytes))
+    groups = math.ceil(size / ROUND_BYTES) or 1
+
+    counted = rows.filter(train).select(body).mapInArrow(_count(slots, groups), _COUNTED)
+    if groups > 1:
+        counted = counted.repartition("slot", "lot").sortWithinPartitions("slot", "lot").mapInArrow(_combine(_subtotal), _COUNTED)
+    counted = counted.withColumn("lot", F.lit(0)).repartition("slot").sortWithinPartitions("slot")
+    model = stored(counted.mapInArrow(_combine(_model(slots, blocks)), _MODEL), "grams")
+
+    tops = model.filter(F.col("slot") < slots).select("codes", "sums").mapInArrow(_tops, "code long, zeros double, ones double, below double")
+    tops = tops.groupBy("code").agg(F.sum("zeros"), F.sum("ones"), F.sum("below")).toPandas()  # at most 2**24 rows, by the alphabet
+    top = docs.sparkSession.sparkContext.broadcast(upper_nodes(tops["code"].to_numpy(np.uint64), tops.iloc[:, 1:].to_numpy(np.float64)))
+    tokens, types = model.filter(F.col("slot") >= slots).agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+
+    dealt = rows.select(ident, body, F.pmod(F.xxhash64(ident, body), F.lit(blocks)).cast("int").alias(block))
+    asked = dealt.groupBy(block).applyInArrow(_ask(slots), _ASK)
+    # Slots that are asked for much are copied, and the blocks shared out among the copies.
+    lots = model.select("slot", F.ceil(F.col("asks") / F.greatest("types", F.lit(LOT))).cast("int").alias("lots")).filter("lots > 1")
+    n = lots.count()
+    asked = small_join(asked, lots, "slot", "left", rows=n).withColumn("lot", F.coalesce(F.pmod(F.xxhash64("block"), F.col("lots")), F.lit(0)).cast("int")).select("block", "slot", "lot", "keys")
+    copies = small_join(model.drop("types", "tokens", "asks"), lots, "slot", "left", rows=n).withColumn("lot", F.explode(F.sequence(F.lit(0), F.coalesce("lots", F.lit(1)) - 1)))
+    copies = copies.select("slot", "lot", "keys", "counts", "codes", "sums")
+    answers = asked.groupBy("slot", "lot").cogroup(copies.groupBy("slot", "lot")).applyInArrow(_answer(slots, top), _ANSWER)
     kind = rows.schema[ident].dataType.simpleString()
     scored = dealt.groupBy(block).cogroup(answers.groupBy("block")).applyInArrow(
-        _score(buckets, ident), f"{ident} {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+        _score(slots, ident, int(tokens), int(types)), f"{ident} {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     )
     return scored.select(ident, held_out(ident, remainder, modulus).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 
 from marlstone.llm import lm_score as L
+from marlstone.llm.common import distinct
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -82,9 +83,10 @@ def rows(words):
     return list(enumerate([*texts, None, "", " \n", "Ab\tAB\nab", "日本 🥰"]))
 
 
-@pytest.mark.parametrize("block_bytes,bucket_bytes", [(10**6, 10**6), (300, 500)])
-def test_against_brute_force(spark, rows, monkeypatch, block_bytes, bucket_bytes):
-    monkeypatch.setattr(L, "BUCKET_BYTES", bucket_bytes)
+@pytest.mark.parametrize("block_bytes,slot_bytes,lot,round_bytes", [(10**6, 10**6, 10**6, 10**9), (300, 500, 10**6, 10**9), (300, 4_000, 100, 1_000)])
+def test_against_brute_force(spark, rows, monkeypatch, block_bytes, slot_bytes, lot, round_bytes):
+    for name, value in (("SLOT_BYTES", slot_bytes), ("LOT", lot), ("ROUND_BYTES", round_bytes)):
+        monkeypatch.setattr(L, name, value)
     got = {r.doc_id: r for r in L.ctw_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block_bytes=block_bytes).collect()}
     learnt = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
     trees, counts = _Trees(learnt), Counter()
@@ -102,27 +104,77 @@ def test_against_brute_force(spark, rows, monkeypatch, block_bytes, bucket_bytes
         assert math.isclose(r.bits_per_byte, -r.score / math.log10(2) / len(_bytes(t)), rel_tol=1e-9)
 
 
+def _model(texts):
+    text, offsets = L.symbols(pa.array(texts))
+    keys, counts = L.tally(L.grams(text, offsets))
+    codes, sums = L.root_sums(keys, counts)
+    return (keys, counts, codes, sums, L.upper_nodes(*L.nodes_of(codes, sums)[1:])), keys
+
+
 def test_probabilities_sum_to_one(rows):
-    text, offsets = L.symbols(pa.array([t for _, t in rows]))
-    tree = L.Subtrees(*L.total(L.grams(text, offsets), np.ones(len(text), np.int64)))
-    top = L.upper_nodes(tree.codes, tree.tops)
-    context = L.grams(text, offsets)[40] & ~np.uint64(255)
-    every = context | np.arange(256, dtype=np.uint64)
-    assert abs((10 ** tree.log10_probability(every, top)).sum() - 1) < 1e-9
+    model, keys = _model([t for _, t in rows])
+    for known in (keys[40], np.uint64(0x7A7A_7A7A_7A7A_7A7A)):
+        every = known & ~np.uint64(255) | np.arange(256, dtype=np.uint64)
+        assert abs((10 ** L.probabilities(every, *model)).sum() - 1) < 1e-9
+
+
+def test_chunks_change_nothing(rows, monkeypatch):
+    model, keys = _model([t for _, t in rows])
+    whole = L.probabilities(keys, *model)
+    monkeypatch.setattr(L, "CHUNK", 50)
+    monkeypatch.setattr(L, "ASKED", 7)
+    parts, _ = _model([t for _, t in rows])
+    assert len(list(L.chunks(keys))) > 5 and (parts[2] == model[2]).all()
+    assert np.allclose(L.probabilities(keys, *parts), whole, rtol=1e-12)
+    other = distinct(keys ^ np.uint64(1 << 20))  # mostly unknown contexts
+    monkeypatch.undo()
+    assert np.allclose(L.probabilities(other, *model), [L.probabilities(k[None], *model)[0] for k in other], rtol=1e-12)
 
 
 def test_symbols_and_words(rows):
     text, offsets = L.symbols(pa.array([t for _, t in rows]))
     assert [text[a:b].tobytes() for a, b in zip(offsets, offsets[1:])] == [_bytes(t) for _, t in rows]
-    token, cuts = L.word_hashes(text, offsets)
-    assert list(np.diff(cuts)) == [len(_tokens(t)) + 1 for _, t in rows]
+    token, row = L.Tokens()(0, text, offsets)
+    assert list(np.bincount(row)) == [len(_tokens(t)) + 1 for _, t in rows]
     names = {}
-    for (_, t), a, b in zip(rows, cuts, cuts[1:]):
-        for w, h in zip([*_tokens(t), None], token[a:b]):
+    for (i, t) in rows:
+        for w, h in zip([*_tokens(t), None], token[row == i]):
             assert names.setdefault(w, h) == h
     assert len(set(names.values())) == len(names)
 
 
+def test_slices_of_long_texts_give_the_same(rows, monkeypatch):
+    rng = random.Random(9)
+    texts = [*(t for _, t in rows), "  \t", " " * 500, "word " * 300 + "  ", "x" * 997, " Ab " + "y" * 300 + " \n" * 200 + "z", " ".join("w" * rng.randrange(40) for _ in range(200))]
+    text, offsets = L.symbols(pa.array(texts))
+    one, row = L.Tokens()(0, text, offsets)
+    for size in (1, 2, 5, 64):
+        monkeypatch.setattr(L, "SLICE", size)
+        tokens, found, bits = L.Tokens(), [[] for _ in texts], [[] for _ in texts]
+        for r, part, cuts, before in L.slices(pa.array(texts)):
+            for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                bits[r + i].append(L.grams(part, cuts, before)[a:b])
+            for h, i in zip(*tokens(r, part, cuts)):
+                found[i].append(h)
+        assert (np.concatenate([np.concatenate(b) for b in bits]) == L.grams(text, offsets)).all()
+        assert [sorted(f) for f in found] == [sorted(one[row == i]) for i in range(len(texts))]
+
+
+def test_planes():
+    for a in ([], [0, 0], [1, 255], [256, 0, 2**63]):
+        a = np.array(a, np.uint64)
+        assert (L.from_planes(L.to_planes(a)) == a).all() and len(L.from_planes(L.to_planes(a))) == len(a)
+
+
+def test_words_that_a_polynomial_hash_confuses(spark, confused):
+    rows = [(3, f"{confused[0]} a"), (4, f"{confused[1]} a"), (6, "a b")]  # 4 alone is held out
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 1]
+    got = {r.doc_id: r for r in L.ctw_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    known = {w for i, t in rows if i not in held for w in t.split()}
+    assert all(got[i].n_known == 1 + sum(w in known for w in t.split()) for i, t in rows)
+    assert got[3].train_tokens == sum(len(t.split()) + 1 for i, t in rows if i not in held)
+
+
 def test_large_counts_follow_the_gamma_function():
     n = np.array([0, 1, 5, 2_047, 2_048, 10**6, 10**12])
     assert np.allclose(L._log_gamma(n, True), [math.lgamma(x + 0.5) for x in n], rtol=1e-13)
