@@ -13,11 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, small_join
+from .common import WORD, discard, fresh, small_join, stored
 
-#: Hexadecimal digits of the order's hash by which a leaf is cut into buckets; only the bucket
-#: at the end of the prefix is sorted.
-BUCKET_DIGITS = 3
+#: Hexadecimal digits by which a leaf's order is narrowed at a time, and the rows that are few enough to sort.
+DIGITS, FEW = 2, 1_000
+#: A table of one small row a leaf is broadcast up to this many rows (about 30 MB).
+LEAVES = 200_000
 
 DOMAINS = {"0": 400, "1": 300, "2": 200, "3": 100}
 LANGUAGES = {"en": 600, "de": 150, "fr": 150, "es": 100}
@@ -58,18 +59,51 @@ def _fill(nodes: DataFrame, parent: list[str], name: str, weight: Column) -> Dat
 
 def leaf_budgets(docs: DataFrame, keys: list[str], tokens: str, budget_share: float, max_epochs: int, weights: list[Column]) -> DataFrame:
     """One row per leaf: its keys, tokens (of one epoch), supply and budget."""
-    leaves = docs.groupBy(*keys).agg(F.sum(tokens).cast("long").alias("tokens"))
-    leaves = leaves.withColumn("supply", F.col("tokens") * max_epochs).persist()
-    whole = leaves.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(budget_share)).cast("long").alias("budget"))
+    leaves = stored(docs.groupBy(*keys).agg(F.sum(tokens).cast("long").alias("tokens")).withColumn("supply", F.col("tokens") * max_epochs), "leaves")
+    whole = leaves.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(budget_share)).cast("long")).first()[0]
     nodes = None
     for depth, weight in enumerate(weights, 1):
         parents, name = keys[: depth - 1], keys[depth - 1]
-        level = leaves.groupBy(*keys[:depth]).agg(F.sum("supply").cast("long").alias("supply"), F.sum("tokens").cast("long").alias("tokens"))
-        level = level.join(nodes.select(*parents, "budget"), parents) if parents else level.crossJoin(F.broadcast(whole))
+        level = leaves.select(*keys, "supply", "tokens")
+        if depth < len(keys):
+            level = level.groupBy(*keys[:depth]).agg(F.sum("supply").cast("long").alias("supply"), F.sum("tokens").cast("long").alias("tokens"))
+        level = level.join(nodes.select(*parents, "budget"), parents) if parents else level.withColumn("budget", F.lit(whole).cast("long"))
         nodes = _fill(level, parents, name, weight)
+    nodes = stored(nodes, "budgets")
+    discard(leaves)
     return nodes
 
 
+def _ends(ordered: DataFrame, keys: list[str], n: str, order: str, tie: str, rest: str) -> DataFrame:
+    """For each leaf where the prefix of its order that holds ``rest`` tokens ends: the last (order, tie) in it,
+    how many rows have both (of_), and how many of these it takes (take_).
+
+    The order's digits narrow the place down, a few at a time, by sums over all rows that are
+    left, until few rows of any leaf are; only these are sorted.  Equal rows count as one.
+    """
+    left = ordered.groupBy(*keys, order, tie, rest).agg(F.max(n).alias(n), F.count("*").alias("of_"))
+    left = stored(left.withColumn("before_", F.lit(0).cast("long")), "order")
+    running, digits, made = Window.partitionBy(*keys).orderBy("digits_"), 0, [left]
+    most = left.groupBy(*keys).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    while most > FEW and digits < 32:
+        cut = left.withColumn("digits_", F.substring(order, digits + 1, DIGITS))
+        sums = cut.groupBy(*keys, "digits_").agg(F.sum(F.col(n) * F.col("of_")).alias("tokens_"), F.max(rest).alias("rest_"), F.max("before_").alias("from_"), F.count("*").alias("rows_"))
+        sums = sums.withColumn("upto_", F.col("from_") + F.sum("tokens_").over(running.rowsBetween(Window.unboundedPreceding, 0))).filter("upto_ >= rest_")
+        first = sums.groupBy(*keys).agg(F.min(F.struct("digits_", (F.col("upto_") - F.col("tokens_")).alias("from_"), "rows_")).alias("first_"))
+        first = stored(first.select(*keys, "first_.*"), "digits")
+        n_leaves, most = first.agg(F.count("*"), F.coalesce(F.max("rows_"), F.lit(0))).first()
+        cut = small_join(cut, first.drop("rows_"), [*keys, "digits_"], rows=n_leaves if n_leaves > LEAVES else 0)
+        left = stored(cut.withColumn("before_", F.col("from_").cast("long")).drop("digits_", "from_"), "order")
+        made += [left, first]
+        digits += DIGITS
+    prefix = Window.partitionBy(*keys).orderBy(order, tie).rowsBetween(Window.unboundedPreceding, -1)
+    at = left.withColumn("before_", F.col("before_") + F.coalesce(F.sum(F.col(n) * F.col("of_")).over(prefix), F.lit(0))).filter(F.col("before_") < F.col(rest))
+    take = F.when(F.col(n) > 0, F.least("of_", F.ceil((F.col(rest) - F.col("before_")) / F.col(n)))).otherwise(F.col("of_")).cast("long")
+    ends = stored(at.groupBy(*keys).agg(F.max(F.struct(F.col(order).alias("order_"), F.col(tie).alias("tie_"), take.alias("take_"), "of_")).alias("end")).select(*keys, "end.*"), "ends")
+    discard(*made)
+    return ends
+
+
 def mix(
     docs: DataFrame,
     tokens: Column | None = None,
@@ -88,18 +122,22 @@ def mix(
     The budget is ``budget_share`` of all tokens (words, unless ``tokens`` says otherwise).
     Weights are whole numbers by value; a value that a table does not name weighs 100, and
     with the tables empty all weigh alike.  The order of a leaf in an epoch is that of
-    md5("seed:epoch:doc_id"), ties by doc_id and then by text; a document is taken if the
-    tokens before it are fewer than what the leaf still needs.  Null domains, languages and
-    sources are leaves of their own; a null doc_id counts as the empty text in the order; a
-    null or empty text has no tokens, and is taken only where the prefix reaches over it or
-    with whole epochs.  Repeated rows are taken one by one.  A weight of 0 takes nothing.
-    An empty table gives an empty table.
+    md5("seed:epoch:doc_id"), ties by a hash of the text; a document is taken if the tokens
+    before it are fewer than what the leaf still needs.  Null domains, languages and sources
+    are leaves of their own; a null doc_id counts as the empty text in the order; a null or
+    empty text has no tokens, and is taken only where the prefix reaches over it or with whole
+    epochs.  Rows equal in doc_id and text are taken one by one.  A weight of 0 takes nothing.
+    Texts of any length count whole.  An empty table gives an empty table.  ``docs`` needs
+    columns text, lang and source; columns of it that have one of ``names`` give way.
+
+    Texts are read twice and never shuffled up to :data:`LEAVES` leaves; beyond, they are
+    joined with their decisions by leaf, doc_id and hash, which no large leaf can crowd.
     """
     domain_weights = DOMAINS if domain_weights is None else domain_weights
     language_weights = LANGUAGES if language_weights is None else language_weights
     kept = [c for c in docs.columns if c.lower() not in names]
-    dk, lk, sk, n, order, bucket, ident, epochs, rest, end, upto, before = fresh(
-        [*docs.columns, "tokens", "supply", "budget"], *(f"{x}__" for x in ("domain", "lang", "source", "n", "order", "bucket", "ident", "epochs", "rest", "end", "upto", "before"))
+    dk, lk, sk, n, order, ident, tie, epochs, rest = fresh(
+        [*docs.columns, "tokens", "supply", "budget", "order_", "tie_", "take_", "of_"], *(f"{x}__" for x in ("domain", "lang", "source", "n", "order", "ident", "tie", "epochs", "rest"))
     )
     keys = [dk, lk, sk]
     named = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("?"))
@@ -110,39 +148,40 @@ def mix(
         named(F.col("source")).alias(sk),
         (n_words() if tokens is None else F.coalesce(tokens, F.lit(0)).cast("long")).alias(n),
         F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias(ident),
+        F.xxhash64(F.col("text").cast("string")).alias(tie),
     )
+    in_epoch = F.md5(F.concat(F.lit(f"{seed}:"), F.col(epochs).cast("string"), F.lit(":"), F.col(ident)).cast("binary"))
+    thin = stored(all_rows.select(*keys, n, ident, tie), "counted")
     weights = [_weight(domain_weights, F.col(dk), 100), _weight(language_weights, F.col(lk), 100), _weight(source_weights or {}, F.col(sk), 100)]
-    leaves = leaf_budgets(all_rows.select(*keys, n), keys, n, budget_share, max_epochs, weights)
-    leaves = leaves.select(
-        *keys,
-        F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("long").alias(epochs),
-        F.when(F.col("tokens") > 0, F.col("budget") % F.col("tokens")).otherwise(0).cast("long").alias(rest),
-    ).persist()
+    budgets = leaf_budgets(thin, keys, n, budget_share, max_epochs, weights)
+    leaves = budgets.filter("tokens > 0 and budget > 0").select(*keys, F.floor(F.col("budget") / F.col("tokens")).cast("long").alias(epochs), (F.col("budget") % F.col("tokens")).cast("long").alias(rest))
     n_leaves = leaves.count()
-
-    ordered = small_join(all_rows, leaves, keys, rows=n_leaves)
-    ordered = ordered.withColumn(order, F.md5(F.concat(F.lit(f"{seed}:"), F.col(epochs).cast("string"), F.lit(":"), F.col(ident)).cast("binary")))
-    ordered = ordered.withColumn(bucket, F.conv(F.substring(order, 1, BUCKET_DIGITS), 16, 10).cast("int"))
-    # The bucket in which each leaf's prefix ends: from a table of leaves times buckets at most.
-    running = Window.partitionBy(*keys).orderBy(bucket)
-    sums = ordered.groupBy(*keys, bucket, rest).agg(F.sum(n).cast("long").alias(n))
-    sums = sums.withColumn(upto, F.sum(n).over(running.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = sums.filter(F.col(upto) >= F.col(rest)).groupBy(*keys).agg(F.min(bucket).alias(end), F.min_by(F.col(upto) - F.col(n), F.col(bucket)).alias(upto))
-    chosen = small_join(ordered, ends.persist(), keys, rows=n_leaves)
-
-    at_end = (F.col(bucket) == F.col(end)) & (F.col(rest) > 0)
+    ordered = small_join(thin, leaves.filter(F.col(rest) > 0), keys, rows=n_leaves if n_leaves > LEAVES else 0).withColumn(order, in_epoch)
+    ends = _ends(ordered, keys, n, order, tie, rest)
+    plan = stored(leaves.join(ends, keys, "left").drop(rest), "plan")
+
+    if n_leaves <= LEAVES:
+        chosen = all_rows.join(F.broadcast(plan), keys)
+    else:
+        chosen = all_rows.join(thin.select(*keys, ident, tie).distinct().join(plan, keys), [*keys, ident, tie])
+    # Rows up to the end of the leaf's prefix get one epoch more than the whole ones.
+    place, end = F.struct(order, tie), F.struct(F.col("order_").alias(order), F.col("tie_").alias(tie))
+    chosen = chosen.withColumn(order, in_epoch)
+    inside = F.coalesce((place < end) | ((place == end) & (F.col("take_") == F.col("of_"))), F.lit(False))
     columns = [F.col(f"`{c}`") for c in kept]
-    prefix = Window.partitionBy(*keys).orderBy(order, F.col(f"`{doc_id}`"), F.xxhash64("text"), "text")
-    inside = chosen.filter(at_end).withColumn(before, F.col(upto) + F.coalesce(F.sum(n).over(prefix.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    takes = lambda extra: (F.col(epochs) + extra.cast("long")).alias(epochs)
-    a = chosen.filter(~at_end).select(*columns, n, takes((F.col(bucket) < F.col(end)) & (F.col(rest) > 0)))
-    b = inside.select(*columns, n, takes(F.col(before) < F.col(rest)))
-    both = a.unionByName(b).filter(F.col(epochs) > 0)
-    return both.select(*columns, F.col(n).alias(names[0]), F.explode(F.sequence(F.lit(0).cast("long"), F.col(epochs) - 1)).alias(names[1]))
+    if not plan.filter("take_ < of_").isEmpty():  # some of several equal rows
+        same = Window.partitionBy(*keys).orderBy(F.xxhash64(*columns))
+        split = F.coalesce((place == end) & (F.col("take_") < F.col("of_")), F.lit(False))
+        some = chosen.filter(split).withColumn(order, F.row_number().over(same) <= F.col("take_"))
+        chosen = chosen.filter(~split).withColumn(order, inside).unionByName(some)
+        inside = F.col(order)
+    chosen = chosen.withColumn(epochs, F.col(epochs) + inside.cast("long")).filter(F.col(epochs) > 0)
+    discard(budgets, ends, *([thin] if n_leaves <= LEAVES else []))
+    return chosen.select(*columns, F.col(n).alias(names[0]), F.explode(F.sequence(F.lit(0).cast("long"), F.col(epochs) - 1)).alias(names[1]))
 
 
 def mixed_rows(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows that :func:`mix` chooses, with their own columns."""
+    """The rows that :func:`mix` chooses, with their own columns, once for each epoch; its docstring says what odd rows do."""
     names = fresh(docs.columns, "n_tokens", "epoch")
     return mix(docs, names=tuple(names), **parameters).drop(*names)
 

@@ -72,10 +72,22 @@ def test_shortages_go_to_siblings_first(spark):
     assert {r.s: r.budget for r in nodes} == {"s1": 10, "s2": 40, "s3": 50, "s4": 100}
 
 
-def test_hot_leaf_is_not_sorted_whole(spark):
-    df = spark.range(20_000).selectExpr("id as doc_id", "'a b' as text", "'en' as lang", "'s' as source")
-    got = M.mix(df, budget_share=0.3)
-    assert abs(got.count() - 6_000) <= 1
+def test_hot_leaf_is_narrowed_down(spark, monkeypatch):
+    """Several rounds of digits, with and without a broadcast of the leaves."""
+    df = spark.range(5_000).selectExpr("id as doc_id", "repeat('a ', int(id % 3)) as text", "'en' as lang", "if(id % 2 = 0, 's', concat('t', id % 7)) as source").repartition(3)
+    rows = [(r.doc_id, r.text, r.lang, r.source, "x") for r in df.collect()]
+    monkeypatch.setattr(M, "FEW", 3)
+    want, _ = _brute(rows, 0.3, 4, 7, [{}, {}, {}])
+    for leaves in (100, 0):
+        monkeypatch.setattr(M, "LEAVES", leaves)
+        got = M.mix(df, budget_share=0.3, domain=F.lit("x"), domain_weights={}, language_weights={})
+        assert sorted((r.doc_id, r.epoch) for r in got.collect()) == want
+
+
+def test_equal_rows_are_taken_one_by_one(spark):
+    df = spark.range(3_000).selectExpr("if(id < 2990, 1, id) as doc_id", "'a b' as text", "'en' as lang", "'s' as source", "id as other")
+    got = M.mix(df, budget_share=0.3, max_epochs=1).collect()
+    assert len(got) in (900, 901) and len({r.other for r in got}) == len(got)
 
 
 def test_odd_rows(odd, empty):
