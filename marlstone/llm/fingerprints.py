@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, fresh, eights, small_batches, small_join, span_hash, utf8_slices
+from .common import by_bytes, eights, fresh, small_batches, span_hash, utf8_slices
 
 WINDOW, RUN, POINTS, PER_FILTER, BITS, CLASSES = 64, 64, 16, 160, 2_048, 1_001
 #: Where fewer than FEW windows have the points, the points asked for are halved until there are as many.
 FEW = 16
+#: The most ranges that the documents' order is cut into; what a range holds is streamed.
+RANGES = 65_536
 #: Windows of entropy class below LEAST (of 1,000) never are features: runs of one byte and the like.
 LEAST = 100
 REACH = WINDOW + RUN - 1
@@ -86,20 +88,22 @@ def ranks_of(counts: np.ndarray) -> np.ndarray:
     return rank
 
 
-def corpus_ranks(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Rarity ranks of the entropy classes over all windows of all documents."""
+def corpus_ranks(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
+    """Rarity ranks of the entropy classes over all windows of all documents, and the documents' bytes."""
 
     def run(batches):
-        counts = np.zeros(CLASSES, np.int64)
+        counts, size = np.zeros(CLASSES, np.int64), 0
         for batch in batches:
-            counts += class_counts(*utf8_slices(batch.column(0)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(counts)], ["class", "n"])
+            raw, offsets = utf8_slices(batch.column(0))
+            counts += class_counts(raw, offsets)
+            size += len(raw)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, CLASSES)), pa.array(np.append(size, counts))], ["class", "n"])
 
     found = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(run, "class long, n long").groupBy("class").agg(F.sum("n").alias("n"))
-    counts = np.zeros(CLASSES, np.int64)
+    counts = np.zeros(CLASSES + 1, np.int64)
     for r in found.collect():  # one row a class
-        counts[r[0]] = r[1]
-    return ranks_of(counts)
+        counts[r[0] + 1] = r[1]
+    return ranks_of(counts[1:]), int(counts[0])
 
 
 def _leaders(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,73 +235,93 @@ def _compare(texts: list[str], ranks: np.ndarray) -> list[tuple]:
 RESULT = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
 
+class _Ranges:
+    """Ranges of the documents' order, each named by its first document: (id or None, tie)."""
+
+    def __init__(self, heads: list[tuple]):
+        heads = sorted((h[0] is not None, h[0], h[1]) for h in heads)
+        known = [h for h in heads if h[0]]
+        self.nulls = len(heads) - len(known)
+        self.ids, self.ties = np.array([h[1] for h in known]), np.array([h[2] for h in heads], np.int64)
+
+    def find(self, known: np.ndarray, ids: np.ndarray, ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The range of each document, and whether it is (or equals) the range's first."""
+        n = self.nulls
+        low, high = np.zeros(len(ties), np.int64), np.full(len(ties), n)
+        if known.any():
+            low[known] = n + np.searchsorted(self.ids, ids[known], side="left")
+            high[known] = n + np.searchsorted(self.ids, ids[known], side="right")
+        upto = low.copy()  # of ranges that begin with the same id, those whose tie is not greater
+        for i in np.flatnonzero(high > low):
+            upto[i] += np.searchsorted(self.ties[low[i] : high[i]], ties[i], side="right")
+        at = np.maximum(upto - 1, 0)
+        return at, (upto > low) & (self.ties[at] == ties)
+
+
 def neighbour_fingerprints(docs: DataFrame, ranks: np.ndarray | None = None, doc_id: str = "doc_id", text: str = "text", part_bytes: int = 16_000_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Documents are put in ascending order of doc_id (nulls first, ties by a hash of the text and
-    the text), cut into ranges of about ``part_bytes``; each range also gets the first document
-    of the next one, so no task holds more than a range.  A single document follows itself.
-    Null texts are empty; an empty text has the digest without filters, like another empty one
-    and unlike all others.  The features of texts of less than 256 bytes are their
-    spans of eight bytes.  Repeated rows stay
-    repeated.
+    the text) and cut into ranges of about ``part_bytes``, at most :data:`RANGES` of them; each
+    range also gets the first document of the next one, the last range that of the first.
+    Within a range the documents are read one after the other.  A single document follows
+    itself.  Null texts are empty; an empty text has the digest without filters, like another
+    empty one and unlike all others.  The features of texts of less than 256 bytes are their
+    spans of eight bytes.  Texts of any length are whole; two of them are held at a time, at
+    least.  Repeated rows stay repeated; an empty table gives an empty table; other columns
+    of ``docs`` are not returned.
     """
     small_batches(docs.sparkSession)
     if ranks is None:
-        ranks = corpus_ranks(docs, text)
-    ident, tie, part, look, body = fresh(RESULT, "doc_id", "tie__", "part__", "look__", "text__")
-    rows = docs.select(F.col(f"`{doc_id}`").alias(ident), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(body))
-    total, n = rows.agg(F.sum(F.octet_length(body)), F.count("*")).first()
-    parts = max(1, math.ceil((total or 0) / part_bytes))
-    # Splitters from a sample of ids: they set the sizes of tasks, not the result.
-    sample = rows.select(ident).dropna().sample(min(1.0, 100 * parts / max(1, n)), seed=1) if parts > 1 else None
-    some = sorted(r[0] for r in sample.collect()) if sample is not None else []
-    splitters = sorted({some[len(some) * i // parts] for i in range(1, parts)}) if some else []
-
-    @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        out = np.zeros(len(ids), np.int32)
-        if splitters and known.any():
-            out[known] = np.searchsorted(np.array(splitters), ids[known].to_numpy(), side="right")
-        return pd.Series(out)
-
-    rows = rows.withColumn(tie, F.xxhash64(body)).withColumn(part, part_of(F.col(ident)) if splitters else F.lit(0)).withColumn(look, F.lit(0))
-    first = rows.groupBy(part).agg(F.min(F.struct(F.col(ident).isNotNull().alias("known"), F.col(ident).alias("id"), F.col(tie).alias("tie"))).alias("first"))
-    heads = sorted(first.select(part, "first.id", "first.tie").collect())  # one row a range
-    if not heads:
-        heads = [(0, None, 0)]
-    before = [(h[1], h[2], heads[i - 1][0]) for i, h in enumerate(heads)]
+        ranks, total = corpus_ranks(docs, text)
+    else:
+        total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
+    ident, tie, at, part, look, body = fresh(RESULT, "doc_id", "tie__", "at__", "part__", "look__", "text__")
+    rows = docs.select(F.col(f"`{doc_id}`").alias(ident), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(body)).withColumn(tie, F.xxhash64(body))
+    parts = min(RANGES, max(1, math.ceil(total / part_bytes)))
+    # The first document of each range, by Spark's own range partitioning of the ids alone.
+    order = F.struct(F.col(ident).isNotNull().alias("known"), F.col(ident).alias("id"), F.col(tie).alias("tie"))
+    firsts = rows.select(order.alias("first"), ident, tie)
+    if parts > 1:
+        firsts = firsts.repartitionByRange(parts, F.col(ident).asc_nulls_first(), tie)
+    by = [F.spark_partition_id()] if parts > 1 else []
+    heads = {(r["first"].id, r["first"].tie) for r in firsts.groupBy(*by).agg(F.min("first").alias("first")).collect() if r["first"]}  # one a range
+    ranges, n = _Ranges(list(heads)), max(1, len(heads))
     id_type = rows.schema[ident].dataType.simpleString()
-    table = docs.sparkSession.createDataFrame(before, f"id_ {id_type}, tie_ long, to_ int")
-    ahead = small_join(rows, table, F.col(ident).eqNullSafe(F.col("id_")) & (F.col(tie) == F.col("tie_")), rows=len(before))
-    ahead = ahead.select(ident, body, tie, F.col("to_").alias(part), F.lit(1).alias(look)).dropDuplicates([tie, part])
-    sent = rows.unionByName(ahead).repartitionById(max(1, len(splitters) + 1), F.col(part))
+
+    @F.pandas_udf("long")
+    def place(known: pd.Series, ids: pd.Series, ties: pd.Series) -> pd.Series:
+        found, first = ranges.find(known.to_numpy(bool), ids.to_numpy(), ties.to_numpy(np.int64))
+        return pd.Series(2 * found + first)
+
+    some = next((h[0] for h in heads if h[0] is not None), None)  # stands for null ids, so that their column keeps its type
+    rows = rows.withColumn(at, place(F.col(ident).isNotNull(), F.coalesce(F.col(ident), F.lit(some).cast(id_type)), F.col(tie)))
+    here, before = (F.struct(where.cast("int").alias(part), F.lit(flag).alias(look)) for where, flag in ((F.shiftright(at, 1), 0), (F.pmod(F.shiftright(at, 1) - 1, F.lit(n)), 1)))
+    rows = rows.withColumn(at, F.explode(F.when(F.col(at) % 2 == 1, F.array(here, before)).otherwise(F.array(here))))
+    sent = rows.select(ident, body, tie, f"{at}.{part}", f"{at}.{look}").repartitionById(n, F.col(part))
     sent = sent.sortWithinPartitions(part, look, F.col(ident).asc_nulls_first(), tie, body).select(ident, body, part, look)
 
     def run(batches):
         held: list[tuple] = []
+        size, ids, ended = 0, None, None
 
         def flush():
             made = _compare([h[1] for h in held], ranks)
             arrays = [pa.array([h[0] for h in held[:-1]], ids), *(pa.array(c) for c in zip(*made))]
             return pa.RecordBatch.from_arrays(arrays, [ident, *RESULT])
 
-        size, ids = 0, None
         for batch in batches:
             ids = ids or batch.column(0).type
-            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if held and held[-1][2] != row[2]:  # another range: its rows follow one another again
-                    if len(held) > 1:
-                        yield flush()
-                    held, size = [], 0
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[2] == ended:  # the follower has come: what equals it is not needed
+                    continue
                 held.append(row)
                 size += len(row[1])
-                if size > CHUNK and len(held) > 1:
+                if row[3]:
+                    ended = row[2]
+                if (row[3] or size > CHUNK) and len(held) > 1:
                     yield flush()
-                    held = held[-1:]
-                    size = len(held[0][1])
-        if len(held) > 1:
-            yield flush()
+                    held = [] if row[3] else held[-1:]
+                    size = len(held[0][1]) if held else 0
 
     return sent.mapInArrow(run, f"{ident} {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
