@@ -10,7 +10,8 @@ million, and an estimate below ``FLOOR`` is over five deviations off.
 Documents with equal sets form one class and are linked without being compared.  Among the
 classes, no bucket is expanded into its pairs: its members are first compared with one hub,
 then with another where several components remain, and only members of different components
-are compared further, in blocks that decide each pair on the spot and emit a tree of links at most.
+are compared further, in blocks bounded in rows and bytes: by signatures first, and what these
+leave open by the full sets, on the spot, so that a block emits a tree of links at most.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from .common import append_arrow, by_bytes, discard, fresh, lower_ascii, mix64,
 
 HASHES, ROWS, BITS, SHINGLE = 128, 4, 4, 5
 BANDS = HASHES // ROWS
-CHUNK, FLOOR, BLOCK = 1_000_000, 0.55, 1_024
+CHUNK, FLOOR = 1_000_000, 0.55
+#: Members of a bucket, and bytes of their sets, that one side of a block has, about.
+BLOCK, BLOCK_BYTES = 1_024, 16_000_000
 #: Two-column tables of ids are broadcast up to this many rows (about 16 MB).
 ID_ROWS = 500_000
 #: Links that one task contracts at a time.
@@ -202,6 +205,25 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
 
 
+def _open_in_block(percent: int):
+    """Of a block's members, those that sizes and signatures allow a link to another component."""
+
+    def run(block: pa.Table) -> pa.Table:
+        chunk, low, high = block.column("chunk").to_numpy(), block.column("low")[0].as_py(), block.column("high")[0].as_py()
+        comp, size = block.column("comp_hash").to_numpy(), block.column("n_shingles").to_numpy()
+        signature = utf8_slices(block.column("signature"))[0].reshape(block.num_rows, -1)
+        left, right, found = np.flatnonzero(chunk == low), np.flatnonzero(chunk == high), np.zeros(block.num_rows, bool)
+        for i in left:
+            js = right[right > i] if low == high else right
+            js = js[(comp[js] != comp[i]) & (100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i]))]
+            js = js[estimate(signature[js], signature[i]) >= FLOOR]
+            found[js] = True
+            found[i] |= len(js) > 0
+        return block.select(["bucket", "low", "high", "chunk", "node", "comp_hash"]).filter(pa.array(found))
+
+    return run
+
+
 def _links_in_block(percent: int):
     """Links between the components of one block (a chunk of a bucket with itself, or two chunks).
 
@@ -251,7 +273,9 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     100 * intersection >= percent * union are linked; component_id is the smallest doc_id
     reachable, and kept says that it is the document's own.  Null and empty texts have the
     empty set and are linked with nothing; rows with a null doc_id are compared with nothing
-    and kept, with a null component.  Rows that share a doc_id count as one document.
+    and kept, with a null component.  Rows that share a doc_id count as one document.  Texts
+    of any length are whole.  An empty table gives an empty table; other columns of ``docs``
+    are not returned.
     """
     ident, = fresh(["n_shingles", "component_id", "kept"], "doc_id")
     rows = docs.select(F.col(f"`{doc_id}`").alias(ident), F.col(f"`{text}`").cast("string").alias("text"))
@@ -267,9 +291,9 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = sketch.join(own, [ident, "k1", "k2", "n_shingles"], "left_semi").dropDuplicates([ident, "k1", "k2"])
     nodes = stored(nodes.select(F.col(ident).alias("node"), "n_shingles", "bands", "signature"), "nodes")
 
-    spread = nodes.select("node", F.explode("bands").alias("bucket"))
-    hubs = spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    buckets = stored(spread.join(hubs, "bucket"), "buckets")
+    spread = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
+    hubs = spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("size"), F.sum("n_shingles").alias("shingles")).filter("size > 1")
+    buckets = stored(spread.drop("n_shingles").join(hubs, "bucket"), "buckets")
 
     wanted = buckets.select("node").distinct()
     holders = small_join(rows, wanted.withColumnRenamed("node", ident), ident, "left_semi", rows=0 if wanted.count() <= ID_ROWS else None)
@@ -305,21 +329,21 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     pairs = still.join(second, "bucket").filter("component != hi and node != hub").select(F.col("second").alias("a"), F.col("node").alias("b")).distinct()
     more = stored(_linked(_may_link(pairs, thin), sets, percent), "links")
     discard(still)
-    edges = stored(edges.union(more), "links")
+    fewer, edges = (edges, more), stored(edges.union(more), "links")
+    discard(*fewer)
     labels = components(edges)
 
     # What is left: members of different components, compared in blocks of bounded size.
     still = open_buckets(labels)
-    chunks = F.ceil(F.col("size") / BLOCK).cast("int")
+    chunks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") * 8 / BLOCK_BYTES)).cast("int")
     left = still.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), chunks - 1)))
     left = left.select("bucket", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high"), "chunk", "node", F.xxhash64("component").alias("comp_hash"))
-    left = left.join(nodes, "node").join(sets, "node")
-    rest = stored(left.groupBy("bucket", "low", "high").applyInArrow(_links_in_block(percent), f"a {id_type}, b {id_type}").distinct(), "links")
-    discard(still)
-    if rest.isEmpty():
-        final = labels
-    else:
-        final = components(edges.union(rest))
+    block = ["bucket", "low", "high"]
+    undecided = left.join(thin, "node").groupBy(*block).applyInArrow(_open_in_block(percent), left.schema)
+    undecided = undecided.join(nodes, "node").join(sets, "node")
+    rest = stored(undecided.groupBy(*block).applyInArrow(_links_in_block(percent), f"a {id_type}, b {id_type}").distinct(), "links")
+    final = labels if rest.isEmpty() else components(edges.union(rest))
+    discard(still, buckets, sets, nodes, edges, rest)
 
     # Back to the rows: class, then component.
     named = classes.join(final, "node", "left").select(*key, F.coalesce("component", "node").alias("component_id"))

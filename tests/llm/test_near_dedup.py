@@ -81,6 +81,48 @@ def test_large_group_in_small_blocks(spark, words, monkeypatch):
     _check(spark, rows)
 
 
+def test_long_texts_in_blocks_bounded_by_bytes(spark, words, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_BYTES", 40_000)
+    rng = random.Random(5)
+    base = [rng.choice(words) + str(rng.randrange(5_000)) for _ in range(6_000)]
+    rows = []
+    for i in range(40):
+        copy = list(base[: rng.choice([4_000, 5_000, 6_000])])
+        for _ in range(rng.randrange(0, 300)):
+            copy[rng.randrange(len(copy))] = f"w{rng.randrange(99_999)}"
+        rows.append((i, " ".join(copy)))
+    _check(spark, rows)
+
+
+def _block(n, signatures, sets, comp):
+    one = np.arange(n)
+    return pa.table({
+        "bucket": np.zeros(n, np.int64), "low": np.zeros(n, np.int32), "high": np.ones(n, np.int32), "chunk": (one % 2).astype(np.int32), "node": one, "comp_hash": comp,
+        "n_shingles": np.array([len(s) for s in sets]), "signature": pa.array([s.tobytes() for s in signatures], pa.binary()),
+        "bands": pa.array([[0]] * n, pa.list_(pa.int64())), "members": pa.array([s.tobytes() for s in sets], pa.binary()),
+    })
+
+
+def test_unlike_members_of_one_bucket_stay_apart_by_signature():
+    """Thousands in one bucket: only those that may be linked get as far as their sets."""
+    rng, n = np.random.default_rng(6), 5_000
+    signatures = rng.integers(0, 256, (n, 64)).astype(np.uint8)
+    signatures[7] = signatures[4]
+    sets = [np.sort(rng.integers(0, 1 << 60, 100).astype(np.uint64)) for _ in range(n)]
+    sets[7] = sets[4]
+    block = _block(n, signatures, sets, np.arange(n))
+    found = N._open_in_block(75)(block.drop_columns(["bands", "members"]))
+    assert sorted(found.column("node").to_pylist()) == [4, 7]
+    links = N._links_in_block(75)(block.take(found.column("node")))
+    assert links.to_pylist() == [{"a": 4, "b": 7}]
+
+
+def test_words_that_a_polynomial_hash_confuses(spark, confused):
+    tail = " b c d e f g"
+    got = N.near_components(spark.createDataFrame([(1, confused[0] + tail), (2, confused[1] + tail), (3, confused[0] + tail)], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.component_id, r.n_shingles) for r in got} == {1: (1, 3), 2: (2, 3), 3: (1, 3)}
+
+
 def test_components_of_chains_across_partitions(spark, monkeypatch):
     monkeypatch.setattr(N, "LINKS", 40)
     rng = random.Random(3)
