@@ -8,7 +8,8 @@ row is segmented alike on any cluster and in any batch.
 
 No piece has a space behind a solid character, so every lattice path passes through the
 place before such a space: the stretches between these places are independent, and equal
-stretches share one forward pass.  Characters without a piece become bytes, and so does the
+stretches share one forward pass; so are, within a stretch, the sections between places that
+no piece reaches across.  Characters without a piece become bytes, and so does the
 character that stands for the space in the model's own spelling; decoding is lossless.
 """
 
@@ -124,7 +125,13 @@ def _sample(t: Pieces, raw: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -
     row = np.searchsorted(offsets, start, side="right") - 1
 
     _, first, which = np.unique(span_hash(eights(raw), start, stop), return_index=True, return_inverse=True)
-    size = (stop - start)[first]
+    # Stretches with the hash of another one share its lattice only if they have its bytes too.
+    size = stop - start
+    like = np.minimum(np.arange(len(raw)) + np.repeat(start[first[which]] - start, size), len(raw) - 1)
+    other = np.searchsorted(start, np.flatnonzero(raw != raw[like]), side="right") - 1
+    other = np.union1d(other, np.flatnonzero(size != size[first[which]]))
+    which[other], first = len(first) + np.arange(len(other)), np.concatenate([first, other])
+    size = size[first]
     base = np.concatenate([[0], np.cumsum(size)])
     owner = np.repeat(np.arange(len(first)), size)
     distinct = raw[np.arange(base[-1]) + (start[first] - base[:-1])[owner]]
@@ -133,9 +140,14 @@ def _sample(t: Pieces, raw: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -
     # Places: one before each byte of a stretch, and one at its end.
     source = at + owner[at]
     target = source + length
+    # Where no piece reaches across, a stretch falls into sections, whose ways are independent too.
+    crossed = np.bincount(source + 1, minlength=base[-1] + len(first) + 1) - np.bincount(target, minlength=base[-1] + len(first) + 1)
+    opens = np.cumsum(crossed) == 0
+    opens[base[:-1] + np.arange(len(first))] = True
+    section = np.maximum.accumulate(np.where(opens, np.arange(len(opens)), 0))
     order = np.argsort(target, kind="stable")
     piece, length, weight, source, target = piece[order], length[order], weight[order], source[order], target[order]
-    depth = target - (base[:-1] + np.arange(len(first)))[owner[at[order]]]
+    depth = target - section[source]
     by_depth = np.argsort(depth.astype(np.uint16) if depth.max(initial=0) < 1 << 16 else depth, kind="stable")
     cuts = np.concatenate([[0], np.cumsum(np.bincount(depth))])
     total, upto = np.zeros(base[-1] + len(first)), np.zeros(len(piece))
@@ -143,7 +155,7 @@ def _sample(t: Pieces, raw: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -
         if a == b:
             continue
         now = by_depth[a:b]
-        x, place = total[source[now]] + weight[now], target[now]
+        x, place = np.where(opens[source[now]], 0.0, total[source[now]]) + weight[now], target[now]
         new = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
         n = np.diff(np.append(new, len(now)))
         most = np.maximum.reduceat(x, new)
@@ -218,9 +230,12 @@ def _path(tokenizer: str) -> str:
 def sample_pieces(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", sharpness: float = 1.0, seed: int = 0, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with pieces (sampled ids), n_pieces and lossless (the decoded pieces are the text).
 
-    The whole text is segmented.  Null and empty texts have no pieces; rows with equal key and
-    text are segmented alike; a null key is a key like others.  A larger ``sharpness`` keeps
-    closer to the segmentation of greatest weight.
+    The whole text is segmented, whatever its length.  Null and empty texts have no pieces;
+    rows with equal key and text are segmented alike, and stay repeated; a null key is a key
+    like others.  Columns of ``docs`` with the name of a new one give way.  An empty table
+    gives an empty table.  A larger ``sharpness`` keeps closer to the segmentation of greatest
+    weight.  Time grows with the longest section (see above) times a step in Python, so a
+    megabyte without any space that pieces cross everywhere takes half a minute.
     """
     hashed = fresh(docs.columns, "key__")[0]
     keyed = docs.withColumn(hashed, F.xxhash64(F.col(f"`{key}`")))

@@ -61,6 +61,23 @@ def test_lossless(pieces, words):
     assert model.decode(ids[-2].as_py()) == plain
 
 
+def test_equal_hashes_share_nothing(pieces, confused, monkeypatch):
+    texts = [" ".join(confused), confused[0], confused[1], "ab cd ab"]
+    keys = np.arange(len(texts), dtype=np.int64)
+    want = S.encode(pa.array(texts), keys, pieces)
+    assert S.decode(want, pieces).to_pylist() == texts
+    monkeypatch.setattr(S, "span_hash", lambda eight, start, stop: np.zeros(len(start), np.uint64))
+    got = S.encode(pa.array(texts), keys, pieces)
+    assert S.decode(got, pieces).to_pylist() == texts and got.to_pylist() == want.to_pylist()
+
+
+def test_long_stretch_without_spaces(pieces):
+    rng = np.random.default_rng(3)
+    text = "".join(chr(0x4E00 + int(c)) for c in rng.integers(0, 20_000, 30_000)) + "abc123" * 500
+    ids = S.encode(pa.array([text]), np.zeros(1, np.int64), pieces)
+    assert S.decode(ids, pieces).to_pylist() == [text]
+
+
 def test_batches_and_keys(pieces, words):
     texts = [" ".join(words[i % 5 :]) for i in range(200)]
     keys = np.arange(200, dtype=np.int64)
