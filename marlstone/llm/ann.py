@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, stored
 
 #: Rows of an index block and queries of a query block: the most that one task step holds.
 BLOCK, QUERIES = 8_192, 2_048
+#: The most vectors that an index is fitted on; there is a partition for 16 of them at most.
+MOST_SAMPLE = 65_536
 #: Candidates are reranked beyond the fixed number while their score is within so many standard errors.
 MARGIN = 2.0
 
@@ -84,10 +86,15 @@ def _update(x: np.ndarray, unit: np.ndarray, codes: np.ndarray, books: np.ndarra
     return np.linalg.solve(left, right).reshape(books.shape)
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    half = (centres**2).sum(1)[None] / 2
+    return np.concatenate([(half - x[a : a + 4_096] @ centres.T).argmin(1) for a in range(0, len(x), 4_096)])
+
+
 def _k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
     centres = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        near = ((centres**2).sum(1)[None] / 2 - x @ centres.T).argmin(1)
+        near = _nearest(x, centres)
         n = np.bincount(near, minlength=k)
         sums = np.stack([np.bincount(near, weights=x[:, j], minlength=k) for j in range(x.shape[1])], 1)
         centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], x[rng.integers(0, len(x), k)])
@@ -115,15 +122,16 @@ def fit(sample: np.ndarray, rows: int, threshold: float = 0.2, wanted: float = 0
     index.books = np.stack([_k_means(parts[:, j], 16, rng) if len(x) >= 16 else parts[some, j] for j in range(m)])
     for _ in range(3):
         index.books = _update(parts, unit, _assign(parts, unit, index.books, weight), index.books, weight)
-    k = int(min(1_024, max(1, round(math.sqrt(rows) / 4)), max(1, len(x) // 16)))
+    k = int(min(max(1, round(math.sqrt(rows) / 4)), max(1, len(x) // 16)))
     if k > 1:
         index.centres = _k_means(x, k, rng)
         # Partitions to probe: by the sample's own neighbours.
-        q = x[: min(500, len(x))]
-        far = (x**2).sum(1)[None] - 2 * q @ x.T
-        far[np.arange(len(q)), np.arange(len(q))] = np.inf
-        true = np.argsort(far, axis=1)[:, :neighbours]
-        home = ((index.centres**2).sum(1)[None] / 2 - x @ index.centres.T).argmin(1)
+        q, true = x[: min(500, len(x))], []
+        for a in range(0, len(q), 50):
+            far = (x**2).sum(1)[None] - 2 * q[a : a + 50] @ x.T
+            far[np.arange(len(far)), a + np.arange(len(far))] = np.inf
+            true.append(np.argsort(far, axis=1)[:, :neighbours])
+        true, home = np.concatenate(true), _nearest(x, index.centres)
         place = np.argsort(_order(q, index.centres), axis=1)  # rank of each partition for each query
         index.probe = int(np.quantile(np.take_along_axis(place, home[true], 1).ravel(), wanted)) + 1
     return index
@@ -189,9 +197,16 @@ def nearest(vectors: DataFrame, k: int = 10, query_every: int = 100, max_sample:
     score is the Euclidean distance in double precision on the original vectors; nearest
     first, ties to the smaller vec_id.  Rows with a null id, and vectors that are null, zero,
     or hold null or non-finite components, take no part, nor do vectors of another length than
-    the most frequent one.  A repeated id is searched once, with the first of its vectors in
-    their order, and as candidate stands for each of its rows.  With fewer candidates than k,
-    all are returned; an empty table gives an empty table.
+    the most frequent one (the shortest of several), to which no distance is defined.  A
+    repeated id is searched once, with the first of its vectors in their order, and as candidate
+    stands for each of its rows.  With fewer candidates than k, all are returned; an empty table
+    gives an empty table; other columns of ``vectors`` are not returned.
+
+    The index is fitted on about ``max_sample`` vectors, or 4 * sqrt(rows) if that is more, at
+    most MOST_SAMPLE; there are sqrt(rows) / 4 partitions as long as the sample bears them.
+    Every row is coded once, in a stored table.  A partition is searched block by block, each
+    by up to QUERIES queries at a time, with the vectors beside the codes: a block has the few
+    that a query's reranking wants, where fetching them later would move each for each query.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -205,9 +220,10 @@ def nearest(vectors: DataFrame, k: int = 10, query_every: int = 100, max_sample:
     dim, rows = lengths
     usable = usable.filter(F.size(x) == dim)
     drawn = usable.select("id", "x")
-    if rows > max_sample:
-        drawn = drawn.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000)) < int(1e6 * max_sample / rows))
-    drawn = drawn.dropDuplicates(["x"]).orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id").limit(2 * max_sample).select("x").toPandas()
+    size = min(MOST_SAMPLE, max(max_sample, math.ceil(4 * math.sqrt(rows))))
+    if rows > size:
+        drawn = drawn.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000_000)) < int(1e9 * size / rows))
+    drawn = drawn.dropDuplicates(["x"]).orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id").limit(2 * size).select("x").toPandas()
     index = fit(np.stack(drawn["x"].to_numpy()), rows, wanted=wanted, neighbours=k, seed=seed)
     shared = spark.sparkContext.broadcast(index)
 
@@ -224,7 +240,7 @@ def nearest(vectors: DataFrame, k: int = 10, query_every: int = 100, max_sample:
             packed = codes[:, 0::2] | (codes[:, 1::2] << 4)  # two codes a byte
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(part.astype(np.int32)), pa.array([p.tobytes() for p in packed], pa.binary())], ["id", "x", "part", "code"])
 
-    placed = usable.mapInArrow(place, "id long, x array<double>, part int, code binary")
+    placed = stored(usable.mapInArrow(place, "id long, x array<double>, part int, code binary"), "placed")
     counts = {r[0]: r[1] for r in placed.groupBy("part").count().collect()}  # one row a partition
     sizes = np.array([counts.get(i, 0) for i in range(len(index.centres))])
     blocks = np.maximum(1, -(-sizes // BLOCK))

@@ -35,6 +35,12 @@ def test_anisotropic_codes_lower_the_parallel_residual():
     assert parallel[0.4] < 0.7 * parallel[0.0]
 
 
+def test_partitions_follow_the_rows():
+    x = np.random.default_rng(3).normal(size=(4_000, 8))
+    sizes = [len(A.fit(x, n).centres) for n in (100, 10_000, 250_000, 10**9)]
+    assert sizes == [2, 25, 125, 250]
+
+
 @pytest.mark.parametrize("shape", ["spread", "clusters", "hot"])
 def test_recall_against_brute_force(spark, shape):
     rng = np.random.default_rng(2)
