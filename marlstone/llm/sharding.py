@@ -12,13 +12,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, fresh
 
 #: Rows aimed at in a source group and in a block; the counts of both are bounded, so that the
-#: matrix has at most GROUPS * shards * BLOCKS entries whatever the size of the table.
+#: matrix has at most GROUPS * shards * BLOCKS entries (84 MB) whatever the size of the table.
+#: Beyond 400 million rows a group has more rows, which Spark sorts with spilling.
 GROUP_ROWS, BLOCK_ROWS, GROUPS, BLOCKS = 100_000, 250_000, 4096, 64
 
 
@@ -39,15 +41,20 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) ->
 
 def communication_matrix(rows: list[int], columns: list[int], seed: int) -> np.ndarray:
     """Counts with the given margins, as a uniform random permutation would give them."""
-    rng, left = np.random.default_rng(seed), list(columns)
-    out = np.zeros((len(rows), len(columns)), np.int64)
+    rng, left = np.random.default_rng(seed), np.array(columns, np.int64)
+    out, total = np.zeros((len(rows), len(columns)), np.int64), int(left.sum())
     for i, n in enumerate(rows):
-        rest, draws = sum(left), n
-        for j, size in enumerate(left):
-            if not draws:
-                break
-            out[i, j] = k = hypergeometric(rng, size, rest - size, draws)
-            rest, draws, left[j] = rest - size, draws - k, size - k
+        if total < 1_000_000_000:  # the library's limit
+            out[i] = rng.multivariate_hypergeometric(left, n, method="marginals")
+        else:
+            rest, draws = total, n
+            for j, size in enumerate(left.tolist()):
+                if not draws:
+                    break
+                out[i, j] = k = hypergeometric(rng, size, rest - size, draws)
+                rest, draws = rest - size, draws - k
+        left -= out[i]
+        total -= n
     return out
 
 
@@ -60,8 +67,9 @@ def uniform_shards(df: DataFrame, key: list[str], shards: int = 40, seed: int =
 
     ``key`` orders the rows reproducibly: the same rows and seed give the same result however
     the input is partitioned.  Rows equal in the whole key are interchangeable, and are given
-    different slots.  Nulls in the key are values like others.  An empty table gives an empty
-    table; with fewer rows than shards, the later shards stay empty.
+    different slots.  Nulls in the key are values like others, and texts of any length travel
+    whole.  An empty table gives an empty table; with fewer rows than shards, the later shards
+    stay empty.  Columns of ``df`` called shard or slot give way.
     """
     group, rank, dest, place, cuts = fresh(df.columns, "group__", "rank__", "dest__", "place__", "cuts__")
     total = df.count()
@@ -77,7 +85,8 @@ def uniform_shards(df: DataFrame, key: list[str], shards: int = 40, seed: int =
     first = np.concatenate([np.concatenate([[0], np.cumsum(even(size, blocks))[:-1]]) for size in sizes])
 
     spark = df.sparkSession
-    table = spark.createDataFrame([(i, [int(x) for x in row]) for i, row in enumerate(upto)], f"{group} int, {cuts} array<long>")
+    lists = pa.ListArray.from_arrays(np.arange(groups + 1, dtype=np.int32) * len(block_sizes), upto.ravel())
+    table = spark.createDataFrame(pa.table({group: pa.array(np.arange(groups, dtype=np.int32)), cuts: lists}))
     table = F.broadcast(table) if groups * len(block_sizes) <= 4 * BROADCAST_ROWS else table
 
     local = Window.partitionBy(group).orderBy(F.xxhash64(F.lit(seed + 1), *keys), *keys)

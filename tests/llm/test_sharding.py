@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -24,6 +25,12 @@ def test_inversion_beyond_the_library_limit():
     assert abs(x.mean() - draws * 0.6) < 4 * 49 / np.sqrt(1_500) and abs(x.std() - 49) < 4
 
 
+def test_matrix_beyond_the_library_limit():
+    rows, columns = [900_000_000, 5, 600_000_000], [700_000_000, 800_000_005]
+    m = H.communication_matrix(rows, columns, 1)
+    assert list(m.sum(1)) == rows and list(m.sum(0)) == columns
+
+
 def _check(rows, n, shards):
     sizes = Counter(r.shard for r in rows)
     assert len(rows) == n and max(sizes[s] for s in range(shards)) - min(sizes[s] for s in range(shards)) <= 1
@@ -66,3 +73,14 @@ def test_odd_rows(odd, empty):
     assert set(got.columns) == set(odd.columns) | {"slot"}
     _check(rows, odd.count(), 5)
     assert H.uniform_shards(empty, ["doc_id"]).count() == 0
+
+
+def test_query_columns(spark):
+    from marlstone.llm.queries import op9_sharding
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = op9_sharding(spark, sf).collect()
+    assert {r.doc_id: (r["size"], r.text_crc32) for r in rows} == {i: (len(t) + 16, zlib.crc32(t)) for i, t in texts.items()}
+    assert all(r.law == "rows" and r.grown_shard is None for r in rows)
+    _check(rows, len(texts), 40)
