@@ -74,7 +74,7 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         np.minimum(np.bincount(row, weights=stop - start, minlength=n) * per_word / 20, 3),
         np.log1p(words) / 10,
         words == 0,
-        np.maximum(0, per_byte(symbol) - 0.08) * 4,
+        per_byte(symbol) ** 2,
     ]
     out[:, SHAPES:] = np.stack(stats, 1)
     return out
@@ -100,19 +100,29 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
+def risk(p: np.ndarray, u: np.ndarray, w: np.ndarray, b: float, prior: float) -> tuple[float, float]:
+    """The two terms of the risk: of the positives, and of the unseen negatives as estimated."""
+    fp, fu = _logistic(p @ w + b), _logistic(u @ w + b)
+    return -prior * np.log(fp + 1e-12).mean(), -np.log(1 - fu + 1e-12).mean() + prior * np.log(1 - fp + 1e-12).mean()
+
+
+def risk_gradient(p: np.ndarray, u: np.ndarray, w: np.ndarray, b: float, prior: float) -> np.ndarray:
+    """Of the sum of both terms; where the second is negative, the way back up for it alone."""
+    fp, fu = _logistic(p @ w + b), _logistic(u @ w + b)
+    if risk(p, u, w, b, prior)[1] >= 0:
+        cp, cu = (prior * (fp - 1) - prior * fp) / len(p), fu / len(u)
+    else:
+        cp, cu = prior * fp / len(p), -fu / len(u)
+    return np.append(p.T @ cp + u.T @ cu, cp.sum() + cu.sum())
+
+
 def minimise_risk(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Non-negative unbiased risk with logistic loss, by Adam on the whole sample; where the estimated
     risk of the unseen negatives turns negative, the step undoes it."""
     w, b = np.zeros(p.shape[1]), 0.0
     m, s = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
-        fp, fu = _logistic(p @ w + b), _logistic(u @ w + b)
-        negative = -np.log(1 - fu + 1e-12).mean() + prior * np.log(1 - fp + 1e-12).mean()
-        if negative >= 0:
-            cp, cu = (prior * (fp - 1) - prior * fp) / len(p), fu / len(u)
-        else:
-            cp, cu = prior * fp / len(p), -fu / len(u)
-        g = np.append(p.T @ cp + u.T @ cu + decay * w, cp.sum() + cu.sum())
+        g = risk_gradient(p, u, w, b, prior) + decay * np.append(w, 0)
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -145,7 +155,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_positive
 
     At most about ``max_positive`` and ``max_unlabelled`` documents are used, seeded samples
     where there are more, whole texts each.  Without positives every score is 0.5; without
-    unlabelled text the prior is 0.98.
+    unlabelled text the prior is 0.98.  Rows with a null id or text, or a null label, take no
+    part; of rows that share an id the smallest text counts as positive.  ``docs`` needs
+    columns doc_id and text, ``labels`` doc_id and ``label``; others are not read.
     """
     width = SHAPES + _STATS
     positives = labelled_sample(docs, labels.filter(F.col(label) == 1), label, max_positive, seed)
@@ -153,11 +165,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_positive
     discard(positives)
     if not len(p):
         return PositiveUnlabelled(np.zeros(width), 0.0, np.ones(width), 0.5)
-    n = docs.count()
     fold = docs.select("doc_id", F.col("text").cast("string").alias("text")).dropna().filter(~held_out("doc_id"))
-    if n > max_unlabelled:
-        fold = fold.filter(F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text"), F.lit(1_000_000)) < int(1e6 * max_unlabelled * 2 / n))
     named = labels.select("doc_id").dropna().distinct()
+    n = fold.select("doc_id").join(named, "doc_id", "left_anti").count()
+    if n > max_unlabelled:
+        fold = fold.filter(F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text"), F.lit(1_000_000_000)) < int(1e9 * max_unlabelled / n))
     unlabelled = stored(fold.join(named, "doc_id", "left_anti").select("text"), "unlabelled")
     u = _collect(unlabelled)
     discard(unlabelled)
@@ -174,8 +186,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_positive
 def score_quality(docs: DataFrame, model: PositiveUnlabelled, text: str = "text", threshold: float = 0.3, keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """``docs`` (or its columns ``keep``) with score (0 to 1, higher is better) and predicted (score >= threshold), under ``names``.
 
-    Whole texts are scored; null and empty texts get the score of the features' zeros (and of
-    the feature that says so).  Repeated rows stay repeated; an empty table gives an empty table.
+    Whole texts of any length are scored; null and empty texts get the score of the features'
+    zeros (and of the feature that says so).  Repeated rows stay repeated; an empty table gives
+    an empty table; columns of ``docs`` that have one of ``names`` give way.
     """
 
     def make():
@@ -189,7 +202,11 @@ def score_quality(docs: DataFrame, model: PositiveUnlabelled, text: str = "text"
 
 
 def without_junk(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that a model learnt from ``labels`` calls good, with their own columns."""
+    """The rows of ``docs`` that a model learnt from ``labels`` calls good, with their own columns.
+
+    Every row is decided by its text: null and empty ones alike, repeated ones alike.  Without
+    trusted positives nothing is known against a row, and all stay.
+    """
     names = fresh(docs.columns, "score", "predicted")
     scored = score_quality(docs, fit(docs, labels), threshold=threshold, names=tuple(names))
     return scored.filter(F.col(names[1]) == 1).drop(*names)

@@ -157,7 +157,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
 
     At most about ``max_rows`` labelled documents are used (a seeded sample where there are
     more), whole texts each; the model has at most ``most_terms`` terms.  With no labelled
-    rows, or one class alone, the score is a constant.
+    rows, or one class alone, the score is a constant.  Rows with a null id, text or label take
+    no part; of rows that share an id the smallest text and the largest label count.  ``docs``
+    needs columns doc_id and text, ``labels`` doc_id and ``label``; others are not read.
     """
     sample = labelled_sample(docs, labels, label, max_rows, seed)
     y_n = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
@@ -199,8 +201,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
 def score_toxicity(docs: DataFrame, model: FactorizationMachine, text: str = "text", threshold: float = 0.5, keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """``docs`` (or its columns ``keep``) with score (0 to 1) and predicted (score >= threshold), under ``names``.
 
-    Whole texts are scored.  A null or empty text, or one without known terms, gets the score
-    of the bias alone.  Repeated rows stay repeated; an empty table gives an empty table.
+    Whole texts of any length are scored.  A null or empty text, or one without known terms,
+    gets the score of the bias alone.  Repeated rows stay repeated; an empty table gives an
+    empty table; columns of ``docs`` that have one of ``names`` give way.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most most_terms * (rank + 2) numbers
 
@@ -220,7 +223,11 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine, text: str = "te
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that a model learnt from ``labels`` does not call toxic, with their own columns."""
+    """The rows of ``docs`` that a model learnt from ``labels`` does not call toxic, with their own columns.
+
+    Every row is decided by its text: null and empty ones alike, repeated ones alike.  Without
+    labels all stay.
+    """
     names = fresh(docs.columns, "score", "predicted")
     scored = score_toxicity(docs, fit(docs, labels), threshold=threshold, names=tuple(names))
     return scored.filter(F.col(names[1]) == 0).drop(*names)

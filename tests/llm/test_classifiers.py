@@ -4,12 +4,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from marlstone.llm import quality as Q
 from marlstone.llm import toxicity as X
-from marlstone.llm.common import mix64
+from marlstone.llm.common import eights, mix64, span_hash
 
 
 def test_terms_do_not_depend_on_neighbours():
@@ -97,6 +98,74 @@ def test_risk_stays_non_negative_and_prior_is_found():
     assert ((u @ w + b > 0) == (np.arange(4_000) < 2_800)).mean() > 0.97
 
 
+@pytest.mark.parametrize("prior,negative", [(0.4, False), (0.95, True)])
+def test_gradient_of_the_risk(prior, negative):
+    rng = np.random.default_rng(6)
+    p, u = rng.normal(1, 1, (60, 3)), rng.normal(0.9, 1, (80, 3))
+    w, b = rng.normal(size=3), 0.2
+    w = w + 2 if negative else w
+    loss = lambda x: sum(Q.risk(p, u, x[:-1], x[-1], prior)) if not negative else -Q.risk(p, u, x[:-1], x[-1], prior)[1]
+    assert (Q.risk(p, u, w, b, prior)[1] < 0) == negative
+    at, step = np.append(w, b), 1e-6
+    by_hand = [(loss(at + step * e) - loss(at - step * e)) / (2 * step) for e in np.eye(4)]
+    assert np.allclose(Q.risk_gradient(p, u, w, b, prior), by_hand, atol=1e-4)
+
+
+def _features(text):
+    """The features of one text, in plain Python."""
+    raw = text.encode()
+    kind = lambda c: "a" if 97 <= c <= 122 or c >= 128 else "A" if 65 <= c <= 90 else "0" if 48 <= c <= 57 else chr(c)
+    words, n = raw.split(), max(1, len(raw.split()))
+    out = np.zeros(Q.SHAPES + 12)
+    for w in words:
+        shape = "".join(k for i, k in enumerate(map(kind, w)) if i == 0 or k != kind(w[i - 1])).encode()
+        out[int(span_hash(eights(np.frombuffer(shape, np.uint8)), np.array([0]), np.array([len(shape)]))[0]) % Q.SHAPES] += 1 / n
+    low, size = [w.lower() for w in words], max(1, len(raw))
+    share = lambda test: sum(map(test, raw)) / size
+    symbol = share(lambda c: c > 32 and kind(c) not in "aA0")
+    out[Q.SHAPES :] = [
+        sum(a == b for a, b in zip(low, low[1:])) / n, (1 - len(set(low)) / n) ** 2 if words else 0, sum(len(w) == 1 and kind(w[0]) not in "aA0" for w in words) / n,
+        share(lambda c: kind(c) == "A"), share(lambda c: kind(c) == "0"), symbol, share(lambda c: c == 10), share(lambda c: kind(c) == "a"),
+        min(3, sum(map(len, words)) / n / 20), np.log1p(len(words)) / 10, not words, symbol**2,
+    ]
+    return out
+
+
+def test_features_against_plain_python(words):
+    rng = random.Random(9)
+    texts = ["", " ", "Some words, some WORDS!!", "a a a | - a", "日本 1 2 3\n", *(" ".join(rng.choice(words).title() + rng.choice(["", "!!", "12", "\n"]) for _ in range(rng.randrange(80))) for _ in range(20))]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    got = Q.all_features(raw, np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]))
+    assert np.allclose(got, [_features(t) for t in texts], atol=1e-6)
+
+
+def test_class_counts_against_plain_python(words):
+    rng = random.Random(10)
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(30))) for _ in range(80)]
+    y = [rng.randrange(2) for _ in texts]
+    want = {}
+    for t, label in zip(texts, y):
+        found = set(t.split()) | {w[:n] + "-" for w in t.split() for n in X.PREFIXES if len(w) > n}
+        for x in found:
+            a, b = want.get(x, (0, 0))
+            want[x] = a + 1, b + label
+    (got,) = X._class_counts(iter([pa.RecordBatch.from_arrays([pa.array(texts), pa.array(y)], ["text", "y"])]))
+    assert sorted(zip(got.column(1).to_pylist(), got.column(2).to_pylist())) == sorted(want.values())
+
+
+def test_training_follows_the_gradient():
+    """One step from zero on one batch: the sign of each weight's change is that of the mean error of its rows."""
+    rows, y = [np.array([0, 1]), np.array([1, 2]), np.array([2, 3])], np.array([1.0, 1.0, 0.0])
+    bias, w, v = X.train(rows, y, 4, rank=2, epochs=1, steps=1, batch=3, decay=0.0)
+    start = np.random.default_rng(5).normal(0, 0.01, (4, 2))
+    share = np.log(2.5 / 1.5)
+    error = [X.logistic(np.array([share + start[a] @ start[b]]))[0] - t for (a, b), t in zip(rows, y)]
+    slope = np.array([sum(e for r, e in zip(rows, error) if i in r) / 3 for i in range(4)])
+    assert (np.sign(w) == -np.sign(slope)).all() and np.sign(bias - share) == -np.sign(sum(error))
+    pull = np.array([sum(e * start[(set(r.tolist()) - {i}).pop()] for r, e in zip(rows, error) if i in r) for i in range(4)]) / 3
+    assert (np.sign(v - start) == -np.sign(pull)).all()
+
+
 def test_features_do_not_depend_on_neighbours():
     texts = ["Some words, some WORDS!!", "", "a a a a", "日本 1 2 3 | | |", "\n\n x"]
     raw = np.frombuffer("".join(texts).encode(), np.uint8)
