@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import BindError, ExecutionError, PlanError
 from ..functions.expressions import to_column
@@ -34,19 +37,20 @@ def _checked(column, target: Field):
     return F.when(F.octet_length(column) > target.size, F.raise_error(F.lit(f"value too long for {target.name} varchar({target.size})")).cast("string")).otherwise(column)
 
 
-def _finished(df: DataFrame, table: Table, values: dict[str, object]) -> DataFrame:
+def finished(df: DataFrame, table: Table, values: dict[str, object]) -> DataFrame:
     """Columns in the table's order; those without a value are NULL."""
     return df.select(*((_checked(values[f.name], f) if f.name in values else F.lit(None).cast(spark_type(f.type))).alias(f.name) for f in table.fields))
 
 
-def run_spark(action):
-    """The value of ``action()``; what Spark reports of the data becomes an error of the engine."""
+def run_spark(action, mismatch: str = "InsertSchemaMismatch"):
+    """The value of ``action()``; what Spark reports of the data becomes an error of the engine.
+    ``mismatch``: the kind for a value that its column cannot hold."""
     try:
         return action()
     except PySparkException as error:
         text = str(error)
         if "value too long for" in text:
-            raise PlanError("InsertSchemaMismatch", text[text.index("value too long for") :].split("\n")[0][:120]) from error
+            raise PlanError(mismatch, text[text.index("value too long for") :].split("\n")[0][:120]) from error
         if "OVERFLOW" in text:
             raise ExecutionError("NumericOutOfRange", text.split("\n")[0][:120]) from error
         raise
@@ -69,7 +73,7 @@ def insert_frame(catalog: Catalog, s: S.Insert, plan_query) -> tuple[Table, Data
         for o, t in zip(query.outputs, targets):
             if not assignable(o.expr.type, t.type, _literal(o.expr)):
                 raise PlanError("InsertSchemaMismatch", f"{t.name} {t.type} from {o.expr.type}")
-        return table, _finished(df, table, {t.name: F.col(f"v{i}") for i, t in enumerate(targets)})
+        return table, finished(df, table, {t.name: F.col(f"v{i}") for i, t in enumerate(targets)})
     if not s.rows or not s.rows[0]:
         raise BindError("InsertValuesEmpty")
     binder, rows = B.Binder(catalog), []
@@ -80,18 +84,34 @@ def insert_frame(catalog: Catalog, s: S.Insert, plan_query) -> tuple[Table, Data
         for e, t in zip(cells, targets):
             if not assignable(e.type, t.type, _literal(e)):
                 raise PlanError("InsertSchemaMismatch", f"{t.name} {t.type} from {e.type}")
-        rows.append(F.struct(*(to_column(e).cast(spark_type(t.type)).alias(f"v{i}") for i, (e, t) in enumerate(zip(cells, targets)))))
-    df = catalog.spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    return table, _finished(df, table, {t.name: F.col(f"v{i}") for i, t in enumerate(targets)})
+        rows.append(cells)
+    schema = T.StructType([T.StructField(f"v{i}", spark_type(t.type)) for i, t in enumerate(targets)])
+    df = catalog.spark.createDataFrame(_values(catalog, rows, schema), schema)
+    return table, finished(df, table, {t.name: F.col(f"v{i}") for i, t in enumerate(targets)})
+
+
+#: Expressions that are computed in one query.
+EXPRESSIONS = 200
+
+
+def _values(catalog: Catalog, rows: list[list[B.Bound]], schema: T.StructType) -> list[tuple]:
+    """The rows of VALUES: literals as they are, expressions computed a few hundred at a time."""
+    open_cells = [(e, f.dataType) for row in rows for e, f in zip(row, schema) if not isinstance(e, B.Constant)]
+    found = []
+    for at in range(0, len(open_cells), EXPRESSIONS):
+        some = [to_column(e).cast(kind).alias(f"e{i}") for i, (e, kind) in enumerate(open_cells[at : at + EXPRESSIONS])]
+        found += run_spark(lambda some=some: catalog.spark.range(1).select(*some).first())
+    done = iter(found)
+    plain = lambda e, f: float(e.value) if isinstance(f.dataType, T.DoubleType) and e.value is not None else e.value
+    return [tuple(plain(e, f) if isinstance(e, B.Constant) else next(done) for e, f in zip(row, schema)) for row in rows]
 
 
 def insert(catalog: Catalog, s: S.Insert, plan_query) -> int:
     table, df = insert_frame(catalog, s, plan_query)
     part = run_spark(lambda: catalog.write(df, table))
-    count = part.count()  # from the new files' footers
-    if count:
-        table.parts = (*table.parts, part)
-    return count
+    if part._rows:
+        catalog.add(table, part)
+    return part._rows
 
 
 def _matching(catalog: Catalog, table: Table, where: S.Expr | None):
@@ -127,12 +147,21 @@ def update(catalog: Catalog, s: S.Update, frame_only: bool = False):
     columns = [(F.when(test, values[f.name]).otherwise(F.col(c.id)) if f.name in values else F.col(c.id)).alias(f.name) for f, c in zip(table.fields, source.columns)]
     if frame_only:
         return [df.select(*columns) for df in scanned]
-    counts = _counts(scanned, test)
-    parts = [run_spark(lambda df=df: catalog.write(df.select(*columns), table)) if n else part for df, part, n in zip(scanned, table.parts, counts)]
-    table.parts = tuple(parts)
+    counts = run_spark(lambda: _counts(scanned, test))
+    _replace(catalog, table, [df.select(*columns) for df in scanned], counts, "UpdateSchemaMismatch")
     return sum(counts)
 
 
+def _replace(catalog: Catalog, table: Table, made: list[DataFrame], counts: list[int], mismatch: str) -> None:
+    """A version in which one new part, at the place of the first, has what becomes of all parts with matching rows."""
+    hit = [i for i, n in enumerate(counts) if n]
+    if not hit:
+        return
+    part = run_spark(lambda: catalog.write(reduce(DataFrame.unionByName, [made[i] for i in hit]), table), mismatch)
+    parts = [part if i == hit[0] else p for i, p in enumerate(table.parts) if i == hit[0] or i not in hit]
+    table.parts = tuple(p for p in parts if p is not part or part._rows)
+
+
 def delete(catalog: Catalog, s: S.Delete, frame_only: bool = False):
     table = catalog.get(s.table)
     _, source, test, scanned = _matching(catalog, table, s.where)
@@ -144,5 +173,5 @@ def delete(catalog: Catalog, s: S.Delete, frame_only: bool = False):
     if s.where is None:
         table.parts = ()
     else:
-        table.parts = tuple(run_spark(lambda df=df: catalog.write(df, table)) if n else part for df, part, n in zip(rest, table.parts, counts))
+        _replace(catalog, table, rest, counts, "InsertSchemaMismatch")
     return sum(counts)

@@ -200,7 +200,7 @@ def oracle_sql() -> dict[str, str]:
     found |= {name: oracle for name, (_, _, oracle) in SCRIPTS.items()}
     n = "(SELECT count(*) FROM {} WHERE {} < 5)"
     low = f"({n.format('region', 'r_regionkey')} + {n.format('nation', 'n_nationkey')})::INT"
-    return found | {"change_counts": f"SELECT 'insert' AS change, (SELECT count(*) FROM nation)::INT AS n UNION ALL SELECT 'update', {low} UNION ALL SELECT 'delete', {low}"}
+    return found | {"change_counts": f"SELECT 'insert' AS change, (SELECT count(*) FROM nation)::BIGINT AS n UNION ALL SELECT 'update', {low} UNION ALL SELECT 'delete', {low}"}
 
 
 def _widened(sql: str) -> str:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import sys
 
+from pyspark.errors import PySparkException
+
 from .errors import SqlError
 from .golden import cell
 from .session import Session
@@ -17,12 +19,16 @@ def answer(session: Session, text: str) -> str:
         return result.tag or "\n".join(" ".join(map(cell, row)) for row in result.rows())
     except SqlError as error:
         return f"error: {error}"
+    except PySparkException as error:  # what the engine has no name for; the next statement may work
+        return f"error: {str(error).strip().splitlines()[0]}"
 
 
 def loop(session: Session, lines=sys.stdin, out=sys.stdout) -> None:
     held = ""
     for line in lines:
         word = line.strip()
+        if not held and word.strip("; ") == "":  # blank lines and lone semicolons between statements
+            continue
         if not held and word.startswith("."):
             if word in (".quit", ".exit"):
                 return

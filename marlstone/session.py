@@ -33,7 +33,8 @@ class Session:
     """One statement at a time against a catalog of tables.
 
     ``qualified``: output columns are named table.column; ``narrow``: COUNT is int and SUM has
-    the type of its input, failing where the sum does not fit.
+    the type of its input, failing where the sum does not fit.  The Spark session is set to ANSI
+    arithmetic, which the strict overflow rules need and which other users of it share.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, qualified: bool = False, narrow: bool = False):
@@ -64,7 +65,7 @@ class Session:
         return query, plan(query, self.catalog.frame)
 
     def _count(self, name: str, n: int) -> Result:
-        return Result(self.spark.createDataFrame([(n,)], f"`__{name}_rows` int"))
+        return Result(self.spark.createDataFrame([(n,)], f"`__{name}_rows` bigint"))
 
     def _run(self, s) -> Result:
         if isinstance(s, S.Select):

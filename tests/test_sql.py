@@ -3,6 +3,7 @@ from __future__ import annotations
 import io
 import random
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from marlstone.errors import SqlError
 from marlstone.plans.parser import parse
 from marlstone.repl import loop
 from marlstone.session import Session
+from marlstone.sources.catalog import Catalog, due
 
 GOLDEN = sorted((Path(__file__).parent / "golden").glob("*.txt"))
 
@@ -25,7 +27,7 @@ def test_golden(session, script):
 REFUSED = {
     "ExpectedSingleStatement": ["", ";", "select a from t; select a from t"],
     "UnsupportedStatement": ["drop table t", "explain create table x (a int)", "explain analyze select a from t", "truncate t", "create view v as select a from t", "create table x (a int unique)", "create table x (a int not null)", "create table if not exists x (a int)", "insert into t values (1) on conflict do nothing", "create table x as select a from t"],
-    "UnsupportedQuery": ["select distinct a from t", "select a from t, u", "select a from t union select a from t", "select a from t having a > 1", "with x as (select a from t) select a from x", "select a from (select a from t)", "select 1", "select a from t limit 1 offset 2", "select a from t right join t on true", "select a from t left outer join t on true", "select a from t join t using (a)", "select a from t group by all", "select a from t for update", "values (1)", "select a from t limit 2, 3", "select a from t tablesample (5)"],
+    "UnsupportedQuery": ["select distinct a from t", "select a from t, u", "select a from t union select a from t", "select a from t having a > 1", "with x as (select a from t) select a from x", "select a from (select a from t)", "select 1", "select a from t limit 1 offset 2", "select a from t right join t on true", "select a from t left outer join t on true", "select a from t join t using (a)", "select a from t group by all", "select a from t for update", "values (1)", "select a from t limit 2, 3", "select a from t tablesample (5)", "select a from t order by all", "select a from t order by a with fill", "select a from t order by a interpolate (a)", "select top 3 a from t", "select a from t group by rollup (a)"],
     "UnsupportedExpression": ["select a * 2 from t", "select a / 2 from t", "select a from t where a in (1)", "select a from t where a between 1 and 2", "select case when a then 1 end from t", "select cast(a as int) from t", "select a::int from t", "select +a from t", "select avg(a) from t", "select count(distinct a) from t", "select sum(a) over () from t", "select a from t where s like 'x'", "select a from t where a is true", "select s || 'x' from t", "select upper(s) from t", "select x.t.a from t", "select a from t where exists (select a from t)"],
     "UnsupportedDataType": ["create table x (a float)", "create table x (a text)", "create table x (a double precision)", "create table x (a timestamp)", "create table x (a numeric(5))"],
     "VarcharMissingSize": ["create table x (a varchar)"],
@@ -147,6 +149,80 @@ def test_change_beyond_a_batch(session, spark):
     assert session.sql("select count(*), max(v) from n").rows() == [(1998, 999)]
 
 
+def test_many_inserts_make_few_parts(session):
+    session.sql("create table t (a int)")
+    for i in range(40):
+        session.sql(f"insert into t values ({i})")
+    table = session.catalog.get("t")
+    assert len(table.parts) < 16 and sum(p._rows for p in table.parts) == 40
+    assert session.sql("select count(*), min(a), max(a) from t").rows() == [(40, 0, 39)]
+    assert session.sql("explain select a from t").rows()[0][0].count("Union") == 0  # one scan over all parts
+    assert session.sql("update t set a = a + 1 where a >= 0").rows() == [(40,)] and len(table.parts) == 1
+    assert session.catalog.vacuum() > 0
+    assert sorted(r[0] for r in session.sql("select a from t").rows()) == list(range(1, 41))
+
+
+def test_size_classes():
+    """A thousand single rows, then larger ones: few parts, and each row is written a few times."""
+    rows, written = [], 0
+    for n in [1] * 1_000 + [300] * 40 + [None] + [2] * 20:
+        rows.append(n)
+        while k := due(rows):
+            rows, merged = rows[:-k], sum(rows[-k:])
+            rows.append(merged)
+            written += merged
+    assert len(rows) < 3 * 16 and None in rows and sum(r or 0 for r in rows) == 1_000 + 12_000 + 40
+    assert written < 3 * 13_040
+
+
+def test_values_of_many_rows(session):
+    session.sql("create table t (a int, d double, s varchar(9), b boolean, k smallint, l bigint)")
+    rows = ", ".join(f"({i} - 1, {i}, 's{i}', {'true' if i % 2 else 'null'}, -{i % 9}, {i})" for i in range(1_500))
+    assert session.sql(f"insert into t values {rows}").rows() == [(1_500,)]
+    got = session.sql("select count(*), sum(a), sum(d), count(b), min(k), max(l), max(s) from t").rows()
+    assert got == [(1_500, sum(range(1_500)) - 1_500, float(sum(range(1_500))), 750, -8, 1_499, "s999")]
+    with pytest.raises(SqlError) as error:
+        session.sql("insert into t (a) values (1), (2147483647 + 1)")
+    assert error.value.kind == "NumericOutOfRange"
+    assert session.sql("select count(*) from t").rows() == [(1_500,)]
+
+
+def test_too_long_values(session):
+    session.sql("create table t (s varchar(3))")
+    session.sql("insert into t values ('abc')")
+    for text, kind in (("insert into t values ('abcd')", "InsertSchemaMismatch"), ("update t set s = 'abcd'", "UpdateSchemaMismatch")):
+        with pytest.raises(SqlError) as error:
+            session.sql(text)
+        assert error.value.kind == kind
+    assert session.sql("select s from t").rows() == [("abc",)]
+
+
+def test_counts_are_bigint(session):
+    session.sql("create table t (a int)")
+    assert session.sql("insert into t values (1)").frame.dtypes == [("__insert_rows", "bigint")]
+    assert session._count("insert", 1 << 40).rows() == [(1 << 40,)]
+
+
+def test_words_of_the_grammar_as_names(session):
+    words = "key index values check window primary references default any all_ top row interval array rollup cube set table update unique constraint returning nulls asc offset for explain foreign"
+    for word in words.split():
+        session.sql(f"create table n_{word} ({word} int, other int)")
+        session.sql(f"insert into n_{word} ({word}, other) values (1, 2)")
+        session.sql(f"update n_{word} set {word} = {word} + 1 where {word} = 1")
+        assert session.sql(f"select {word}, t.{word}, other as {word}2 from n_{word} t where {word} > 0 order by {word}").rows() == [(2, 2, 2)]
+        assert session.sql(f"select {word}, count(*) from n_{word} group by {word}").rows() == [(2, 1)]
+    session.sql("create table index (key int primary key, check varchar(2))")
+    session.sql("insert into index values (1, 'x')")
+    assert session.select("select key, check as values from index where index.key = 1").columns == ["key", "values"]
+    session.sql("create index i on index (key)")
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    context = SimpleNamespace(master="yarn", getConf=lambda: {}, getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        Catalog(SimpleNamespace(sparkContext=context)).new_path("t")
+
+
 def test_explain(session):
     session.sql("create table t (a int)")
     raw, plan = (session.sql(f"explain {x}select a from t where a > 1").frame for x in ("(raw) ", ""))
@@ -170,6 +246,14 @@ def test_repl(session):
     assert out.getvalue() == "CREATE TABLE\n2\nt\n1\nNULL\nerror: ColumnNotFound: z\n"
 
 
+def test_repl_skips_what_is_blank_and_survives_errors(session, spark):
+    out = io.StringIO()
+    session.register("broken", spark.range(1).selectExpr("raise_error('no such thing') as a"))
+    loop(session, io.StringIO("\n  \n;\n.tables\n\nselect a\n\nfrom broken;\n;;\n.nothing\n.quit\nselect 1;\n"), out)
+    said = out.getvalue().splitlines()
+    assert said[0] == "broken" and said[1].startswith("error: ") and said[2:] == ["unknown command .nothing"]
+
+
 def test_parse_is_pure():
     assert parse("select a from t where (a) = 1 ;; ") == parse("SELECT a FROM t WHERE a = 1")
 
