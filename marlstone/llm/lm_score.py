@@ -35,7 +35,7 @@ from .common import by_bytes, distinct, eights, fresh, held_out, mix64, small_ba
 
 DEPTH, ROOT, END = 6, 3, 255
 #: Text in a block, and text for each slot.
-BLOCK_BYTES, SLOT_BYTES = 16_000_000, 16_000_000
+BLOCK_BYTES, SLOT_BYTES = 8_000_000, 16_000_000
 #: Text, model grams and asked grams that are worked on at a time; distinct grams that a counting task holds.
 SLICE, CHUNK, ASKED, HELD = 1_000_000, 100_000, 200_000, 3_000_000
 #: Grams that one copy of a slot is asked for, about, unless it has more itself.
@@ -589,7 +589,8 @@ def ctw_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modu
     ident, block, train, body = fresh(["n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte", "slot", "lot"], "doc_id", "block", "train", "text")
     rows = docs.select(F.col(f"`{doc_id}`").alias(ident), F.col(f"`{text}`").cast("string").alias(body), (~held_out(doc_id, remainder, modulus)).alias(train))
     size = rows.agg(F.sum(F.octet_length(body))).first()[0] or 0
-    slots, blocks = max(1, math.ceil(size / SLOT_BYTES)), max(1, math.ceil(size / block_bytes))
+    cores = min(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(size / SLICE))  # small tables: work for each
+    slots, blocks = (max(1, cores, math.ceil(size / each)) for each in (SLOT_BYTES, block_bytes))
     groups = math.ceil(size / ROUND_BYTES) or 1
 
     counted = rows.filter(train).select(body).mapInArrow(_count(slots, groups), _COUNTED)
