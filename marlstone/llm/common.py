@@ -256,6 +256,15 @@ def append_arrow(df: DataFrame, inputs: list[str], fields, make, keep: list[str]
     return wide.mapInArrow(run, schema)
 
 
+#: Hashes are drawn by their remainder modulo this: fine enough for a few rows of 10**14.
+DRAW = 10**15
+
+
+def drawn(most: int, n: int, seed: int, *columns: str) -> Column:
+    """Whether a row is among about ``most`` of ``n`` rows, by a seeded hash of ``columns``; some are, however large ``n``."""
+    return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(DRAW)) < DRAW * most // n
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, seed: int) -> DataFrame:
     """A stored sample (text, y) of at most about ``most`` labelled documents outside the held-out fold.
 
@@ -267,7 +276,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, s
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     n = known.count()
     if n > most:
-        known = known.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < int(1e6 * most / n))
+        known = known.filter(drawn(most, n, seed, "doc_id"))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).dropna()
     found = small_join(texts, known, "doc_id", rows=min(n, most))
     return stored(found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).select("text", "y"), "sample")

@@ -47,6 +47,14 @@ def test_stored_tables_can_be_released(spark):
         spark.read.schema("id long").parquet(other._marlstone_path).collect()
 
 
+def test_samples_have_the_wanted_size_whatever_the_table(spark):
+    ids = spark.range(200_000)
+    for most, n in ((2_000, 200_000), (20_000, 200_000)):
+        assert abs(ids.filter(C.drawn(most, n, 3, "id")).count() - most) < 5 * most**0.5
+    # 20,000 of 10**14 rows: one in 5 * 10**9, which a threshold of whole numbers must still tell from none
+    assert C.DRAW * 20_000 // 10**14 == 200_000
+
+
 def test_only_small_tables_are_dealt_out(spark, tmp_path, monkeypatch):
     spark.range(1_000).coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
     assert C.table(spark, str(tmp_path), "t").rdd.getNumPartitions() == 4
