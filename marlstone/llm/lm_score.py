@@ -40,6 +40,8 @@ BLOCK_BYTES, SLOT_BYTES = 8_000_000, 16_000_000
 SLICE, CHUNK, ASKED, HELD = 1_000_000, 100_000, 200_000, 3_000_000
 #: Grams that one copy of a slot is asked for, about, unless it has more itself.
 LOT = 4_000_000
+#: The most tasks that blocks, or slots, are dealt over in turn; a task works through its own one by one.
+TASKS = 65_536
 #: Above this many bytes the sums of the counting tasks meet in groups first.
 ROUND_BYTES = 8_000_000_000
 #: Log probabilities travel as whole numbers of this fraction.
@@ -574,6 +576,12 @@ def _score(slots: int, ident: str, train_tokens: int, train_types: int):
     return run
 
 
+def _dealt(df: DataFrame, number, n: int) -> DataFrame:
+    """``df`` with its task, ``number`` modulo the tasks: ``n`` things are dealt evenly, which a hash of so few would not do."""
+    tasks = min(n, TASKS)
+    return df.withColumn("task", F.pmod(number, F.lit(tasks)).cast("int")).repartitionById(tasks, F.col("task"))
+
+
 def ctw_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus: int = 5, remainder: int = 1, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
@@ -586,7 +594,7 @@ def ctw_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modu
     scores); an empty table gives an empty table; other columns of ``docs`` are not returned.
     """
     small_batches(docs.sparkSession)
-    ident, block, train, body = fresh(["n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte", "slot", "lot"], "doc_id", "block", "train", "text")
+    ident, block, train, body = fresh(["n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte", "slot", "lot", "task"], "doc_id", "block", "train", "text")
     rows = docs.select(F.col(f"`{doc_id}`").alias(ident), F.col(f"`{text}`").cast("string").alias(body), (~held_out(doc_id, remainder, modulus)).alias(train))
     size = rows.agg(F.sum(F.octet_length(body))).first()[0] or 0
     cores = min(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(size / SLICE))  # small tables: work for each
@@ -596,7 +604,7 @@ def ctw_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modu
     counted = rows.filter(train).select(body).mapInArrow(_count(slots, groups), _COUNTED)
     if groups > 1:
         counted = counted.repartition("slot", "lot").sortWithinPartitions("slot", "lot").mapInArrow(_combine(_subtotal), _COUNTED)
-    counted = counted.withColumn("lot", F.lit(0)).repartition("slot").sortWithinPartitions("slot")
+    counted = _dealt(counted.withColumn("lot", F.lit(0)), F.col("slot"), 2 * slots).sortWithinPartitions("slot")
     model = stored(counted.mapInArrow(_combine(_model(slots, blocks)), _MODEL), "grams")
 
     tops = model.filter(F.col("slot") < slots).select("codes", "sums").mapInArrow(_tops, "code long, zeros double, ones double, below double")
@@ -605,16 +613,18 @@ def ctw_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modu
     tokens, types = model.filter(F.col("slot") >= slots).agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
 
     dealt = rows.select(ident, body, F.pmod(F.xxhash64(ident, body), F.lit(blocks)).cast("int").alias(block))
-    asked = dealt.groupBy(block).applyInArrow(_ask(slots), _ASK)
+    dealt = _dealt(dealt, F.col(block), blocks)
+    asked = dealt.groupBy("task", block).applyInArrow(_ask(slots), _ASK)
     # Slots that are asked for much are copied, and the blocks shared out among the copies.
     lots = model.select("slot", F.ceil(F.col("asks") / F.greatest("types", F.lit(LOT))).cast("int").alias("lots")).filter("lots > 1")
     n = lots.count()
     asked = small_join(asked, lots, "slot", "left", rows=n).withColumn("lot", F.coalesce(F.pmod(F.xxhash64("block"), F.col("lots")), F.lit(0)).cast("int")).select("block", "slot", "lot", "keys")
     copies = small_join(model.drop("types", "tokens", "asks"), lots, "slot", "left", rows=n).withColumn("lot", F.explode(F.sequence(F.lit(0), F.coalesce("lots", F.lit(1)) - 1)))
     copies = copies.select("slot", "lot", "keys", "counts", "codes", "sums")
-    answers = asked.groupBy("slot", "lot").cogroup(copies.groupBy("slot", "lot")).applyInArrow(_answer(slots, top), _ANSWER)
+    home, by = F.col("slot") + F.col("lot"), ["task", "slot", "lot"]
+    answers = _dealt(asked, home, 2 * slots).groupBy(*by).cogroup(_dealt(copies, home, 2 * slots).groupBy(*by)).applyInArrow(_answer(slots, top), _ANSWER)
     kind = rows.schema[ident].dataType.simpleString()
-    scored = dealt.groupBy(block).cogroup(answers.groupBy("block")).applyInArrow(
+    scored = dealt.groupBy("task", block).cogroup(_dealt(answers, F.col("block"), blocks).groupBy("task", "block")).applyInArrow(
         _score(slots, ident, int(tokens), int(types)), f"{ident} {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     )
     return scored.select(ident, held_out(ident, remainder, modulus).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
