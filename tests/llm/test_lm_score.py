@@ -83,9 +83,9 @@ def rows(words):
     return list(enumerate([*texts, None, "", " \n", "Ab\tAB\nab", "日本 🥰"]))
 
 
-@pytest.mark.parametrize("block_bytes,slot_bytes,lot,round_bytes", [(10**6, 10**6, 10**6, 10**9), (300, 500, 10**6, 10**9), (300, 4_000, 100, 1_000)])
-def test_against_brute_force(spark, rows, monkeypatch, block_bytes, slot_bytes, lot, round_bytes):
-    for name, value in (("SLOT_BYTES", slot_bytes), ("LOT", lot), ("ROUND_BYTES", round_bytes)):
+@pytest.mark.parametrize("block_bytes,slot_bytes,lot,round_bytes,tasks", [(10**6, 10**6, 10**6, 10**9, 10**5), (300, 500, 10**6, 10**9, 5), (300, 4_000, 100, 1_000, 10**5), (200, 1_000, 100, 10**9, 2)])
+def test_against_brute_force(spark, rows, monkeypatch, block_bytes, slot_bytes, lot, round_bytes, tasks):
+    for name, value in (("SLOT_BYTES", slot_bytes), ("LOT", lot), ("ROUND_BYTES", round_bytes), ("TASKS", tasks)):
         monkeypatch.setattr(L, name, value)
     got = {r.doc_id: r for r in L.ctw_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block_bytes=block_bytes).collect()}
     learnt = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
