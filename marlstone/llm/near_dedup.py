@@ -11,7 +11,8 @@ Documents with equal sets form one class and are linked without being compared.
 classes, no bucket is expanded into its pairs: its members are first compared with one hub,
 then with another where several components remain, and only members of different components
 are compared further, in blocks bounded in rows and bytes: by signatures first, and what these
-leave open by the full sets, on the spot, so that a block emits a tree of links at most.
+leave open by the full sets, on the spot, so that a block emits a tree of links at most.  A chunk
+of a bucket goes into its blocks as one row, so members are joined once a bucket, however large it is.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import append_arrow, by_bytes, discard, fresh, lower_ascii, mix64, eights, small_join, span_hash, stored, utf8_slices, words_of
 
@@ -205,6 +207,49 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
 
 
+def _as_row(group: pa.Table, keys: list[str]) -> pa.Table:
+    """A group as one row: its keys, and a list of each other column; no row for an empty one."""
+    ends = pa.array([0, group.num_rows], pa.int32())
+    lists = {c: pa.ListArray.from_arrays(ends, group.column(c).combine_chunks()) for c in group.column_names if c not in keys}
+    return pa.table({k: group.column(k).slice(0, 1) for k in keys} | {c: v.slice(0, min(1, group.num_rows)) for c, v in lists.items()})
+
+
+def _as_rows(packed: pa.Table) -> pa.Table:
+    """The rows that :func:`_as_row` made lists of."""
+    columns = {c: packed.column(c).combine_chunks() for c in packed.column_names}
+    times = next(pc.list_value_length(v) for v in columns.values() if pa.types.is_list(v.type)).to_numpy()
+    row = pa.array(np.repeat(np.arange(packed.num_rows), times))
+    return pa.table({c: v.flatten() if pa.types.is_list(v.type) else v.take(row) for c, v in columns.items()})
+
+
+def _packed(df: DataFrame, keys: list[str], lists: str) -> DataFrame:
+    """One row for each group, by :func:`_as_row`; ``lists`` names and types the other columns."""
+    schema = StructType([*df.select(*keys).schema, *StructType.fromDDL(lists)])
+    return df.select(*schema.names).groupBy(*keys).applyInArrow(lambda group: _as_row(group, keys), schema)
+
+
+def _each_once(packed: pa.Table) -> pa.Table:
+    """A chunk's members, once each, of the lists that its blocks gave."""
+    keys = ["bucket", "chunk", "node"]
+    return _as_rows(packed).group_by(keys).aggregate([("comp_hash", "min")]).select([*keys, "comp_hash_min"]).rename_columns([*keys, "comp_hash"])
+
+
+def _chunks_open(percent: int):
+    """:func:`_open_in_block` on a row for each chunk; gives a row for each chunk that has such members."""
+
+    def run(packed: pa.Table) -> pa.Table:
+        found = _open_in_block(percent)(_as_rows(packed))
+        sides = [found.filter(pc.equal(found.column("chunk"), c)) for c in pc.unique(found.column("chunk"))]
+        return pa.concat_tables(_as_row(side, ["bucket", "low", "high", "chunk"]) for side in sides or [found])
+
+    return run
+
+
+def _chunks_linked(percent: int):
+    """:func:`_links_in_block` on a row for each chunk."""
+    return lambda packed: _links_in_block(percent)(_as_rows(packed))
+
+
 def _open_in_block(percent: int):
     """Of a block's members, those that sizes and signatures allow a link to another component."""
 
@@ -333,17 +378,24 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     discard(*fewer)
     labels = components(edges)
 
-    # What is left: members of different components, compared in blocks of bounded size.
+    # What is left: members of different components, compared in blocks of bounded size.  A chunk of a bucket
+    # goes into its blocks as one row, and a member is joined with its signature and its set once a bucket.
     still = open_buckets(labels)
     chunks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") * 8 / BLOCK_BYTES)).cast("int")
-    left = still.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    left = left.select("bucket", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high"), "chunk", "node", F.xxhash64("component").alias("comp_hash"))
-    block = ["bucket", "low", "high"]
-    undecided = left.join(thin, "node").groupBy(*block).applyInArrow(_open_in_block(percent), left.schema)
-    undecided = undecided.join(nodes, "node").join(sets, "node")
-    rest = stored(undecided.groupBy(*block).applyInArrow(_links_in_block(percent), f"a {id_type}, b {id_type}").distinct(), "links")
+    left = still.select("bucket", F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"), chunks.alias("chunks"), "node", F.xxhash64("component").alias("comp_hash"))
+    lists = f"node array<{id_type}>, comp_hash array<long>"
+    packed = _packed(left.join(thin, "node"), ["bucket", "chunk", "chunks"], f"{lists}, n_shingles array<long>, signature array<binary>")
+    paired = packed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    paired = paired.withColumns({"low": F.least("chunk", "with"), "high": F.greatest("chunk", "with")}).drop("with")
+    block, chunk = ["bucket", "low", "high"], ["bucket", "chunk"]
+    undecided = paired.groupBy(*block).applyInArrow(_chunks_open(percent), f"bucket long, low int, high int, chunk int, {lists}")
+    undecided = stored(undecided, "undecided")
+    members = undecided.groupBy(*chunk).applyInArrow(_each_once, f"bucket long, chunk int, node {id_type}, comp_hash long")
+    packed = _packed(members.join(nodes.join(sets, "node"), "node"), chunk, f"{lists}, n_shingles array<long>, bands array<array<long>>, signature array<binary>, members array<binary>")
+    paired = undecided.select(*block, "chunk").join(packed, chunk)
+    rest = stored(paired.groupBy(*block).applyInArrow(_chunks_linked(percent), f"a {id_type}, b {id_type}").distinct(), "links")
     final = labels if rest.isEmpty() else components(edges.union(rest))
-    discard(still, buckets, sets, nodes, edges, rest)
+    discard(still, undecided, buckets, sets, nodes, edges, rest)
 
     # Back to the rows: class, then component.
     named = classes.join(final, "node", "left").select(*key, F.coalesce("component", "node").alias("component_id"))

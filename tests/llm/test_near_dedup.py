@@ -175,3 +175,41 @@ def test_other_shingle_sizes(size):
     value, cuts = N.shingle_sets(np.frombuffer(text, np.uint8), np.array([0, len(text)]), size)
     w = text.split()
     assert len(value) == cuts[1] == len({tuple(w[i : i + size]) for i in range(len(w) - size + 1)})
+
+
+def _rows_joined_by_node(spark, since):
+    """Rows out of all inner joins by node in the SQL executions after the one numbered ``since``, and the last number."""
+    store, total, last = spark._jsparkSession.sharedState().statusStore(), 0, since
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = store.executionsList()
+    for i in range(runs.size()):
+        number = runs.apply(i).executionId()
+        if number <= since:
+            continue
+        last = max(last, number)
+        found, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if "Join" in node.name() and re.search(r"\[node#\w+\], \[node#\w+\], Inner", node.desc()):
+                for m in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                    if m.name() == "number of output rows" and found.contains(m.accumulatorId()):
+                        total += int(found.apply(m.accumulatorId()).replace(",", ""))
+    return total, last
+
+
+def test_rows_joined_do_not_grow_with_the_number_of_blocks(spark, words, monkeypatch):
+    """Texts mutually just below the threshold: a member of a bucket of many chunks is joined as often as in one chunk."""
+    rng = random.Random(7)
+    base = [rng.choice(words) + str(rng.randrange(50)) for _ in range(100)]
+    rows = []
+    for i in range(120):
+        copy = list(base)
+        for _ in range(2):
+            copy[rng.randrange(100)] = f"w{rng.randrange(99_999)}"
+        rows.append((i, " ".join(copy)))
+    joined, (_, last) = [], _rows_joined_by_node(spark, -1)
+    for size in (1_024, 8):
+        monkeypatch.setattr(N, "BLOCK", size)
+        _check(spark, rows)
+        n, last = _rows_joined_by_node(spark, last)
+        joined.append(n)
+    assert 0 < joined[1] <= 1.1 * joined[0]
