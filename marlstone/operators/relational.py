@@ -14,9 +14,38 @@ def scan(table: DataFrame, source: B.Source) -> DataFrame:
     return table.select(*(F.col(f"`{name}`").alias(c.id) for name, c in zip(table.columns, source.columns)))
 
 
+#: Without an equality between its sides, a join compares all pairs.  Where the product of the sides' bytes, as
+#: Spark estimates them, is more than the first figure, sides of at most the second are dealt out over the cores:
+#: a table of few row groups would leave all pairs to as few tasks.
+PAIR_BYTES, SMALL_SIDE = 100_000_000, 64_000_000
+
+
+def _columns(e: B.Bound) -> set[str]:
+    return {e.id} if isinstance(e, B.Column) else {c for x in getattr(e, "operands", ()) for c in _columns(x)}
+
+
+def _equates(on: B.Bound, left: set[str]) -> bool:
+    """Whether a conjunct equates one side with the other."""
+    if not isinstance(on, B.Call) or on.op not in ("and", "="):
+        return False
+    if on.op == "and":
+        return any(_equates(x, left) for x in on.operands)
+    one, other = map(_columns, on.operands)
+    return bool(one and other) and (one <= left and not other & left or other <= left and not one & left)
+
+
+def _dealt(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    sides, tasks = (left, right), 4 * left.sparkSession.sparkContext.defaultParallelism
+    sizes = [int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for df in sides]
+    many = sizes[0] * sizes[1] > PAIR_BYTES
+    return tuple(df.repartition(tasks) if many and size <= SMALL_SIDE else df for df, size in zip(sides, sizes))
+
+
 def join(left: DataFrame, right: DataFrame, kind: str, on: B.Bound | None) -> DataFrame:
     """Inner, left or cross join.  Equalities between the sides become hash or sort-merge joins, whatever
     else the condition holds; the side to broadcast, if any, is left to the size that Spark measures."""
+    if kind == "cross" or not _equates(on, set(left.columns)):
+        left, right = _dealt(left, right)
     if kind == "cross":
         return left.crossJoin(right)
     return left.join(right, to_column(on), kind)

@@ -317,3 +317,15 @@ def test_expressions_against_a_model(spark, session):
         at = {"i": row.i, "k": row.k, "f": row.f}
         for n, e in enumerate(found):
             assert row[f"e{n}"] == _model(e, at), (_text(e), at)
+
+
+@pytest.mark.parametrize("kind", ["JOIN", "LEFT JOIN"])
+def test_joins_without_equality_use_all_cores(spark, session, kind):
+    """Tables of one partition, as files of one row group give them."""
+    session.register("few", spark.range(2_000).selectExpr("id AS k", "id * 7919 % 2003 AS v").coalesce(1))
+    session.register("many", spark.range(3_000).selectExpr("id AS k", "id * 104729 % 3001 AS v").coalesce(1))
+    got = session.select(f"SELECT a.k AS x, b.k AS y FROM few a {kind} many b ON a.k < b.k AND a.v > b.v")
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    left, right = [(k, k * 7919 % 2003) for k in range(2_000)], [(k, k * 104729 % 3001) for k in range(3_000)]
+    pairs = [(k, [m for m, w in right if k < m and v > w]) for k, v in left]
+    assert sorted((r.x, -1 if r.y is None else r.y) for r in got.collect()) == sorted((k, m) for k, ms in pairs for m in (ms or ([-1] if kind == "LEFT JOIN" else [])))
