@@ -5,12 +5,14 @@ import random
 from pathlib import Path
 from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone import golden
 from marlstone.errors import SqlError
+from marlstone.operators import relational
 from marlstone.plans.parser import parse
 from marlstone.repl import loop
 from marlstone.session import Session
@@ -329,3 +331,33 @@ def test_joins_without_equality_use_all_cores(spark, session, kind):
     left, right = [(k, k * 7919 % 2003) for k in range(2_000)], [(k, k * 104729 % 3001) for k in range(3_000)]
     pairs = [(k, [m for m, w in right if k < m and v > w]) for k, v in left]
     assert sorted((r.x, -1 if r.y is None else r.y) for r in got.collect()) == sorted((k, m) for k, ms in pairs for m in (ms or ([-1] if kind == "LEFT JOIN" else [])))
+
+
+def test_results_of_joins_by_comparison_take_few_bytes(spark, session, tmp_path):
+    """Results grow with the product of the sides; the order of rows decides how well columns are encoded."""
+    session.register("few", spark.range(3_000).selectExpr("id AS k", "id % 5 AS n", "id * 7919 % 3001 AS v").coalesce(1))
+    session.register("many", spark.range(5_000).selectExpr("id AS k", "id % 5 AS n", "id * 104729 % 3001 AS v").coalesce(1))
+    session.select("SELECT a.k AS x, b.k AS y FROM few a JOIN many b ON a.n < b.n AND a.v > b.v").write.parquet(f"{tmp_path}/out")
+    rows = spark.read.parquet(f"{tmp_path}/out").count()
+    left, right = [(k % 5, k * 7919 % 3001) for k in range(3_000)], np.array([(k % 5, k * 104729 % 3001) for k in range(5_000)])
+    assert rows == sum(int(((right[:, 0] > n) & (right[:, 1] < v)).sum()) for n, v in left)
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.7 * rows
+
+
+@pytest.mark.parametrize("on", ["a.x < b.y", "b.y <= a.x AND a.s > b.s", "a.x >= b.y AND a.i + 1 <> b.i", "a.i <= b.y AND 3 > b.i"])
+def test_joins_by_comparison_of_odd_values(spark, session, monkeypatch, on):
+    """NULL, NaN, zeros of both signs, infinities, equal rows and columns of different types."""
+    monkeypatch.setattr(relational, "PAIR_BYTES", 0)
+    monkeypatch.setattr(relational, "SMALL_SIDE", 2**70)
+    monkeypatch.setattr(relational, "BLOCK_ROWS", 4)
+    odd = [None, float("nan"), -0.0, 0.0, float("inf"), float("-inf"), 1.5, 2.0]
+    rows = [(odd[i % 8], odd[i * 5 % 7], i % 6 if i % 4 else None, [None, "", "b", "ü"][i % 3]) for i in range(60)]
+    for name in ("a", "b"):
+        spark.createDataFrame(rows if name == "a" else rows[::-2], "x double, y double, i int, s string").coalesce(1).createOrReplaceTempView(f"odd_{name}")
+        session.register(name, spark.table(f"odd_{name}"))
+    plan = (got := session.select(f"SELECT a.x, b.y, b.s FROM a JOIN b ON {on} WHERE a.i >= 0"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "least_" in plan
+    wanted = spark.sql(f"SELECT a.x, b.y, b.s FROM odd_a a CROSS JOIN odd_b b WHERE a.i >= 0 AND {on}")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, wanted.collect()))
+    count = session.sql(f"SELECT count(*) AS n FROM a JOIN b ON {on} CROSS JOIN b c").rows()
+    assert count == [(spark.sql(f"SELECT 1 FROM odd_a a CROSS JOIN odd_b b WHERE {on}").count() * 30,)]
